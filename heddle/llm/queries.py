@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from .mixing import OP4_SQL, op4_mixing
+from .packing import op5_packing
 from .simhash import op3_simhash
+from .token_counts import op10_token_counts
+from .topk import OP1_SQL, op1_topk
 
 
 def queries() -> dict:
     return {
+        "op1_topk": op1_topk,
         "op3_simhash": op3_simhash,
+        "op4_mixing": op4_mixing,
+        "op5_packing": op5_packing,
+        "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Majority hashes (3), packing (5) and tokens (10) have no SQL form; tests hold them against brute force."""
+    return {"op1_topk": OP1_SQL, "op4_mixing": OP4_SQL}

@@ -73,9 +73,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def unit(*parts: Column | str, seed: int = 0) -> Column:
-    """A fixed number in [0, 1) with 24 bits, from the MD5 of the parts; DuckDB can compute the same one."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("\x00null")) for p in parts], F.lit(str(seed)))
+def unit(key: str, seed: int = 0) -> Column:
+    """A fixed number in [0, 1) with 24 bits, from the MD5 of a nullable string column; DuckDB can compute the same one."""
+    text = F.concat(F.coalesce(F.concat(F.lit("s"), F.col(key)), F.lit("n")), F.lit(f"|{seed}"))
     return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("double") / F.lit(float(1 << 24))
 
 
