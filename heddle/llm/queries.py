@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from .fingerprint import op2_fingerprint
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op5_packing
+from .quality import op9_quality
 from .simhash import op3_simhash
+from .spans import op8_spans
 from .token_counts import op10_token_counts
 from .topk import OP1_SQL, op1_topk
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_topk": op1_topk,
+        "op2_fingerprint": op2_fingerprint,
         "op3_simhash": op3_simhash,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
+        "op7_toxicity": op7_toxicity,
+        "op8_spans": op8_spans,
+        "op9_quality": op9_quality,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Majority hashes (3), packing (5) and tokens (10) have no SQL form; tests hold them against brute force."""
+    """Gamma samples (2), majority hashes (3), packing (5), models (7, 9), span hashes (8) and tokens (10) have no SQL form; tests hold them
+    against brute force or held-out labels."""
     return {"op1_topk": OP1_SQL, "op4_mixing": OP4_SQL}
