@@ -27,7 +27,7 @@ CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks of text whose ids a worker keeps, and the longest that it keeps.
-KEPT, LONGEST = 400_000, 64
+KEPT, LONGEST = 1_500_000, 64
 _loaded: dict = {}
 
 
