@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprint import op2_fingerprint
 from .mixing import OP4_SQL, op4_mixing
+from .ngram import op6_language_model
 from .packing import op5_packing
 from .quality import op9_quality
 from .simhash import op3_simhash
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_simhash": op3_simhash,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
+        "op6_language_model": op6_language_model,
         "op7_toxicity": op7_toxicity,
         "op8_spans": op8_spans,
         "op9_quality": op9_quality,
@@ -28,6 +30,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Gamma samples (2), majority hashes (3), packing (5), models (7, 9), span hashes (8) and tokens (10) have no SQL form; tests hold them
+    """Gamma samples (2), majority hashes (3), packing (5), models (6, 7, 9), span hashes (8) and tokens (10) have no SQL form; tests hold them
     against brute force or held-out labels."""
     return {"op1_topk": OP1_SQL, "op4_mixing": OP4_SQL}

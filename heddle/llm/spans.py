@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .work import Work, table
 
@@ -141,8 +142,10 @@ def dedup(docs: DataFrame, work: Work) -> DataFrame:
                 cuts.append(at[edge].tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(cuts, pa.list_(pa.int64())), *b.columns[3:]], ["id", "text", "removed", "cuts", *extra])
 
-    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return joined.mapInArrow(cut, "id long, text string, removed int, cuts array<long>" + kinds)
+    schema = T.StructType().add("id", "long").add("text", "string").add("removed", "integer").add("cuts", T.ArrayType(T.LongType()))
+    for c in extra:
+        schema.add(docs.schema[c])
+    return joined.mapInArrow(cut, schema)
 
 
 def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
