@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import search, sequences, series, voxels
+
+MODULES = (search, series, sequences, voxels)
+
 
 def queries() -> dict:
-    found: dict = {}
-    return found
+    return {k: v for m in MODULES for k, v in m.CATALOG.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found: dict[str, str] = {}
-    return found
+    return {k: v for m in MODULES for k, v in m.CATALOG.sql.items()}
