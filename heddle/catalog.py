@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import search, sequences, series, voxels
+from .plans import clinical, geometry, measures, rules, search, sequences, series, voxels
 
-MODULES = (search, series, sequences, voxels)
+MODULES = (search, series, measures, sequences, voxels, geometry, rules, clinical)
 
 
 def queries() -> dict:
