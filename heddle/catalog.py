@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import clinical, geometry, measures, rules, search, sequences, series, voxels
+from .plans import clinical, documents, geometry, measures, rules, search, sequences, series, sources, state, voxels
 
-MODULES = (search, series, measures, sequences, voxels, geometry, rules, clinical)
+MODULES = (search, series, measures, sequences, voxels, geometry, rules, clinical, documents, state, sources)
 
 
 def queries() -> dict:
