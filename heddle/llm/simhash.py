@@ -36,11 +36,14 @@ CHUNK = 512
 MANY = 1 << 25
 
 
-def majority(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of one text as an unsigned number; no word: 0; fewer than n words: the whole sequence is hashed."""
+def majorities(text: str | None, n: int = SHINGLE, seed: int = SEED, tables: int = 1) -> list[int]:
+    """The fingerprints of one text as unsigned numbers; no word: 0; fewer than n words: the whole sequence is hashed.
+
+    The first table's bits are of the XXH64 of each shingle, another's of an odd multiple of it, mixed.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * tables
     flat = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
@@ -48,22 +51,29 @@ def majority(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
     k = max(1, len(words) - n + 1)
     last = ends[n - 1 :] if len(words) >= n else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((tables, 64), np.int64)
     for at in range(0, k, 1 << 16):
         h = np.array([digest(flat[s:e], seed) for s, e in zip(begins[at : at + (1 << 16)].tolist(), last[at : at + (1 << 16)].tolist())], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > k, bitorder="little").view("<u8")[0])
+        for t in range(tables):
+            x = h
+            if t:
+                x = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * t + 1)) & 0xFFFFFFFFFFFFFFFF)
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(32)
+            counts[t] += np.unpackbits(x.view(np.uint8).reshape(len(x), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > k, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the 64 bits as a signed long). Null texts count as empty and get 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, tables: int = 1) -> DataFrame:
+    """id and, for each table, fp0, fp1, ... (64 bits as a signed long). Null texts count as empty and get 0."""
+    names = [f"fp{t}" for t in range(tables)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((majority(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            fp = np.array([majorities(x.as_py(), n, SEED, tables) for x in b.column(1)], np.uint64).reshape(b.num_rows, tables)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fp[:, t]).view(np.int64)) for t in range(tables))], ["id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in names))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -169,30 +179,40 @@ def links(work: Work, nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK
 
 
 def groups(prints: DataFrame, work: Work, radius: int = RADIUS, chunk: int = CHUNK, many: int = MANY) -> DataFrame:
-    """prints: id, fp (written). Returns id, fp, component_id: the smallest id reachable over links, itself included.
+    """prints: id, fp0, fp1, ... (written). Adds component_id: the smallest id reachable over links, itself included.
 
-    Ids are expected to be unique; repeated ids stay as rows and share a group only if linked. Null ids keep their row,
-    join groups through other rows' links and, where no id of their group is known, have a null component.
+    Rows are linked if their fingerprints in any one table are within the radius. Ids are expected to be unique; repeated
+    ids stay as rows and share a group only if linked. A row without id joins the group of its first fingerprint; where
+    no id of that group is known, its component is null.
     """
-    known = work.save(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    nodes = known.where("first is not null")
-    found = components(work, links(work, nodes, radius, chunk, many))
-    found = work.save(found, "found")
-    moved = known.join(found.withColumnRenamed("node", "first"), "first", "left")
-    lookup = work.save(moved.select(F.col("fp").alias("fp2"), F.coalesce("component", "first").alias("component_id")), "lookup")
-    return prints.join(lookup, prints["fp"] == lookup["fp2"], "left").select("id", "fp", "component_id")
-
-
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Fingerprint and group of every document: id, fp, component_id.
+    tables = [c for c in prints.columns if c != "id"]
+    every, firsts = None, []
+    for fp in tables:
+        known = work.save(prints.groupBy(F.col(fp).alias("fp")).agg(F.min("id").alias("first")), "nodes")
+        firsts.append(known)
+        own = links(work, known.where("first is not null"), radius, chunk, many)
+        if fp != tables[0]:  # a group of equal fingerprints has a name in each table
+            name0, name = (k.where("first is not null").select(F.col("fp").alias(f"__{x}"), F.col("first").alias(x)) for k, x in ((firsts[0], "a"), (known, "b")))
+            same = prints.where("id is not null").select(F.col(tables[0]).alias("__a"), F.col(fp).alias("__b")).distinct()
+            same = same.join(name0, "__a").join(name, "__b").select("a", "b").where("a <> b").distinct()
+            own = own.unionByName(same)
+        every = own if every is None else every.unionByName(own)
+    found = work.save(components(work, every), "found")
+    moved = firsts[0].join(found.withColumnRenamed("node", "first"), "first", "left")
+    lookup = work.save(moved.select(F.col("fp").alias("__fp"), F.coalesce("component", "first").alias("component_id")), "lookup")
+    return prints.join(lookup, prints[tables[0]] == lookup["__fp"], "left").select(*prints.columns, "component_id")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, n: int = SHINGLE, tables: int = 1) -> DataFrame:
+    """Fingerprints and group of every document: id, fp0, ..., component_id.
 
     Null and empty texts have fingerprint 0 and are linked like any others; an empty table gives an empty one;
     other columns of docs are not read, whatever their names.
     """
     work = Work(docs.sparkSession, "simhash")
-    return groups(work.save(fingerprints(docs, id_col, text_col), "prints"), work, radius)
+    return groups(work.save(fingerprints(docs, id_col, text_col, n, tables), "prints"), work, radius)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     out = simhash_groups(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
