@@ -126,21 +126,23 @@ class Plan:
     def _reduce(self) -> None:
         sizes, moved = sorted(self.left), True
         while moved:
-            moved = False
+            moved, low = False, 0
             for s in reversed(sizes):
                 n = self.left.get(s, 0)
                 if not n:
                     continue
-                rest = self.capacity - s
-                small = [x for x in sizes[:3] if x in self.left]
-                small = [y for x in small for y in [x] * min(3, self.left[x])]
-                if s in small:
-                    small.remove(s)
+                rest, small = self.capacity - s, []
+                while sizes[low] not in self.left:
+                    low += 1
+                for x in sizes[low:]:  # the two shortest pieces beside this one
+                    small += [x] * min(3, self.left.get(x, 0) - (x == s))
+                    if len(small) > 1:
+                        break
                 if not small or small[0] > rest:
                     self._fix(n, s)
                 elif self.left.get(rest, 0) and (rest != s or n > 1):
                     self._fix(n // 2 if rest == s else min(n, self.left[rest]), s, rest)
-                elif len(small) > 1 and small[0] + small[1] > rest or len(small) == 1 and len(self.left) <= 2:
+                elif len(small) == 1 or small[0] + small[1] > rest:
                     at = bisect_left(sizes, rest + 1) - 1
                     while sizes[at] not in self.left or sizes[at] == s and n < 2:
                         at -= 1
