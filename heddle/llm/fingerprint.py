@@ -24,35 +24,54 @@ RANGES = 1024
 _STEP = float(1 << 21)
 
 
-def shingles(text: str, n: int = SHINGLE) -> Column:
-    """An array of structs with a text's runs of n words; of fewer words, one run filled up with empty strings."""
-    words = F.split(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), SPACE)
-    padded = F.when(F.size(words) >= n, words).otherwise(F.concat(words, F.array_repeat(F.lit(""), F.lit(n) - F.size(words))))
-    return F.arrays_zip(*[F.slice(padded, F.lit(i + 1), F.size(padded) - (n - 1)).alias(f"w{i}") for i in range(n)])
+def shingles(df: DataFrame, text: str, n: int = SHINGLE) -> DataFrame:
+    """df without `text`, with a row for each run of n words and its hash in `term`; of fewer words, one run filled up
+    with empty strings. Each step is a projection of its own, so the text is split once."""
+    keep = [c for c in df.columns if c != text]
+    words = df.select(*keep, F.split(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), SPACE).alias("__w"))
+    words = words.select(*keep, F.when(F.size("__w") >= n, F.col("__w")).otherwise(F.concat("__w", F.array_repeat(F.lit(""), F.lit(n)))).alias("__w"), F.greatest(F.size("__w") - (n - 1), F.lit(1)).alias("__n"))
+    runs = F.arrays_zip(*[F.slice("__w", F.lit(i + 1), F.col("__n")).alias(f"w{i}") for i in range(n)])
+    return words.select(*keep, F.explode(runs).alias("__s")).select(*keep, F.xxhash64(*[f"__s.w{i}" for i in range(n)]).alias("term"))
+
+
+def _draws() -> dict[str, Column]:
+    """r, ln c, b and a name of sample k of term."""
+    one, two = F.xxhash64("term", F.col("k") * 2), F.xxhash64("term", F.col("k") * 2 + 1)
+    bits = lambda h, at: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << 21) - 1).cast("long")).cast("double") + 0.5) / _STEP
+    return {"r": -F.log(bits(one, 43) * bits(one, 22)), "c": F.log(-F.log(bits(one, 0) * bits(two, 43))), "b": bits(two, 22), "name": two}
 
 
-def _sample(k: int, weight: str) -> Column:
-    """Sample k's competitor of the column term at the given weight; null at weight 0."""
-    one, two = F.xxhash64("term", F.lit(2 * k)), F.xxhash64("term", F.lit(2 * k + 1))
-    bits = lambda h, at: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << 21) - 1).cast("long")).cast("double") + 0.5) / _STEP
-    r = -F.log(bits(one, 43) * bits(one, 22))
-    c = F.log(-F.log(bits(one, 0) * bits(two, 43)))
-    b = bits(two, 22)
-    t = F.floor(F.log(F.col(weight).cast("double")) / r + b)
-    value = F.floor((c - r * (t.cast("double") + 1.0 - b) + 100.0) * 16777216.0)
-    name = two.bitwiseXOR(t * F.lit(0x9E3779B1).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    return F.shiftleft(value, 32).bitwiseOR(name)
+def _sample() -> Column:
+    """The competitor of a term with the logarithm of its weight in `w`: ln a above, the hash of (term, t) below."""
+    t = F.col("t")
+    value = F.floor((F.col("c") - F.col("r") * (t.cast("double") + 1.0 - F.col("b")) + 100.0) * 16777216.0)
+    return F.shiftleft(value, 32).bitwiseOR(F.col("name").bitwiseXOR(t * F.lit(0x9E3779B1).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+
+
+def samples_of(weights: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """weights: keys, term, n0, n1. Returns keys, own and new: the samples under the weights n0 and n1, in order; null
+    where all weights are 0. A term that both sides weigh alike is drawn once."""
+    side = lambda n, m: F.struct(F.col(n).alias("n"), F.lit(m).alias("m"))
+    sides = F.when(F.col("n1") == 0, F.array(side("n0", 1))).when(F.col("n0") == 0, F.array(side("n1", 2))).when(F.col("n0") == F.col("n1"), F.array(side("n0", 3))).otherwise(F.array(side("n0", 1), side("n1", 2)))
+    rows = weights.select(*keys, "term", F.explode(sides).alias("x")).select(*keys, "term", F.log(F.col("x.n").cast("double")).alias("w"), F.col("x.m").alias("m"))
+    rows = rows.select(*keys, "term", "w", "m", F.explode(F.array(*[F.lit(k) for k in range(samples)])).alias("k"))
+    drawn = rows.select(*keys, "w", "m", "k", *[c.alias(n) for n, c in _draws().items()])
+    drawn = drawn.select(*keys, "m", "k", "r", "c", "b", "name", F.floor(F.col("w") / F.col("r") + F.col("b")).alias("t")).select(*keys, "m", "k", _sample().alias("v"))
+    least = [F.min(F.when(F.col("m").bitwiseAND(F.lit(i)) != 0, F.col("v"))).alias(n) for i, n in ((1, "own"), (2, "new"))]
+    found = drawn.groupBy(*keys, "k").agg(*least)
+    held = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "own", "new"))).alias("all"))
+    return held.select(*keys, F.col("all.own").alias("own"), F.col("all.new").alias("new"))
 
 
-def _alike(one: list[Column], two: list[Column]) -> Column:
-    same = F.lit(0)
-    for a, b in zip(one, two):
-        same = same + F.when(a == b, 1).otherwise(0)
-    return same / float(len(one))
+def _alike(one: str | Column, two: str | Column) -> Column:
+    """The share of equal samples."""
+    same = F.zip_with(one, two, lambda a, b: F.when(a == b, 1).otherwise(0))
+    return F.aggregate(same, F.lit(0), lambda x, y: x + y) / F.size(one).cast("double")
 
 
-def _text(samples: list[Column]) -> Column:
-    return F.concat(*[F.lower(F.lpad(F.hex(s.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0")) for s in samples])
+def _text(samples: str) -> Column:
+    low = lambda s: F.lower(F.lpad(F.hex(s.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0"))
+    return F.array_join(F.transform(samples, low), "")
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -65,7 +84,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = min(RANGES, 4 * partitions(spark))
+    n = min(RANGES, 8 * partitions(spark))
     row = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("cuts"), F.min("doc_id").alias("low")).first()
     low, cuts = row["low"], sorted({c for c in (row["cuts"] or []) if c != row["low"]})
     held = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
@@ -86,17 +105,11 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     meta = rows.select("range", "row", "tail", "doc_id", size.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     texts = rows.select("range", "row", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x"))
     texts = texts.select("range", "row", "x.v", "x.t").where("t is not null")
-    terms = texts.select("range", "row", "v", F.explode(shingles("t")).alias("s"))
-    terms = terms.select("range", "row", "v", F.xxhash64(*[f"s.w{i}" for i in range(SHINGLE)]).alias("term"))
-    weights = terms.groupBy("range", "row", "term").agg(F.sum(1 - F.col("v")).alias("n0"), F.sum("v").alias("n1"))
-    least = [F.min(_sample(k, f"n{v}")).alias(f"s{v}_{k}") for v in (0, 1) for k in range(samples)]
-    prints = weights.groupBy("range", "row").agg(*least)
-    out = meta.join(prints, ["range", "row"])
+    weights = shingles(texts, "t").groupBy("range", "row", "term").agg(F.sum(1 - F.col("v")).alias("n0"), F.sum("v").alias("n1"))
+    out = meta.join(samples_of(weights, ["range", "row"], samples), ["range", "row"])
     follow = Window.partitionBy("range").orderBy("row")
-    own, new = ([F.col(f"s{v}_{k}") for k in range(samples)] for v in (0, 1))
-    after = [F.lead(c).over(follow) for c in own]
-    out = out.withColumn("near_next", _alike(own, after)).where("tail = 0")
-    return out.select("doc_id", "n_chars", "edited_sha256", _text(own).alias("fingerprint"), _text(new).alias("edited_fingerprint"), _alike(own, new).alias("near_edited"), "near_next")
+    out = out.withColumn("after", F.lead("own").over(follow)).where("tail = 0")
+    return out.select("doc_id", "n_chars", "edited_sha256", _text("own").alias("fingerprint"), _text("new").alias("edited_fingerprint"), _alike("own", "new").alias("near_edited"), _alike("own", "after").alias("near_next"))
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
