@@ -176,3 +176,41 @@ def colour_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = lambda c: F.lpad(F.hex(c), 2, "0")
     r, g, b = X.rgb(F.concat(F.lit("#"), two(k * 7 % 256), two(k * 11 % 256), two(k * 13 % 256)))
     return table(spark, sf_dir, "supplier").select("s_suppkey", r.alias("r"), g.alias("g"), b.alias("b"), F.round(X.linear(r), 6).alias("linear_r"), (0.299 * r + 0.587 * g + 0.114 * b > 165).alias("light"))
+
+
+@CATALOG.add("parallel_frames")
+def parallel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL form: a fold along each path."""
+    from heddle.operators import paths as folds
+
+    return folds.frames(paths(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("nx", "ny", "nz")})
+
+
+@CATALOG.add(
+    "shear_angle",
+    """SELECT path, round(degrees(acos(least(1.0, abs(dx * 0.6 + dy * 0.8) / greatest(sqrt(dx * dx + dy * dy + dz * dz), 1e-9)))), 4) AS angle FROM (
+       SELECT path, max(x) FILTER (n = 12) - max(x) FILTER (n = 1) AS dx, max(y) FILTER (n = 12) - max(y) FILTER (n = 1) AS dy, max(z) FILTER (n = 12) - max(z) FILTER (n = 1) AS dz FROM (""" + P_SQL + ") GROUP BY path HAVING count(*) = 12)",
+)
+def shear_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between the way from the first to the last point and the normal (0.6, 0.8, 0)."""
+    ends = [(F.max(F.when(F.col("n") == 12, F.col(c))) - F.max(F.when(F.col("n") == 1, F.col(c)))).alias(f"d{c}") for c in "xyz"]
+    d = paths(spark, sf_dir).groupBy("path").agg(F.count(F.lit(1)).alias("c"), *ends).where("c = 12")
+    way = [F.col(f"d{c}") for c in "xyz"]
+    along = F.abs(G.dot(way, [F.lit(0.6), F.lit(0.8), F.lit(0.0)])) / F.greatest(G.norm(way), F.lit(1e-9))
+    return d.select("path", F.round(F.degrees(F.acos(F.least(F.lit(1.0), along))), 4).alias("angle"))
+
+
+@CATALOG.add("tube_mesh", f"SELECT path, n, a, round(x + 2 * cos(a * pi() / 4), 6) AS x, round(y + 2 * sin(a * pi() / 4), 6) AS y, z FROM ({P_SQL}), range(8) t(a)")
+def tube_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of eight corners around each point."""
+    d = paths(spark, sf_dir).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    turn = F.col("a") * F.lit(3.141592653589793) / 4
+    return d.select("path", "n", "a", F.round(F.col("x") + 2 * F.cos(turn), 6).alias("x"), F.round(F.col("y") + 2 * F.sin(turn), 6).alias("y"), "z")
+
+
+@CATALOG.add("camera_projection", f"SELECT path, n, round((x * 0.8 - y * 0.6) / (z + 10), 6) AS u, round((x * 0.6 + y * 0.8) / (z + 10), 6) AS v FROM ({P_SQL})")
+def camera_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = [F.col(c) for c in "xyz"]
+    right, up = [F.lit(0.8), F.lit(-0.6), F.lit(0.0)], [F.lit(0.6), F.lit(0.8), F.lit(0.0)]
+    depth = F.col("z") + 10
+    return paths(spark, sf_dir).select("path", "n", F.round(G.dot(p, right) / depth, 6).alias("u"), F.round(G.dot(p, up) / depth, 6).alias("v"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heddle.operators import measures as M
 from heddle.session import Catalog, table
 
-from .voxels import G_SQL, M_SQL, grid, mask
+from .voxels import G_SQL, M_SQL, grid, label_sql, largest_sql, mask
 
 CATALOG = Catalog()
 
@@ -84,3 +84,96 @@ def totals_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     grey = F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col("v") + 0.3) / 0.6 * 255))
     return grid(spark, sf_dir).select("vol", "k", "j", "i", grey.cast("int").alias("grey"))
+
+
+@CATALOG.add(
+    "region_box_sphere",
+    f"SELECT vol, k, j, i FROM ({G_SQL}) WHERE k >= 1 AND k < 3 AND j < 3 AND (k - 1.5) * (k - 1.5) * 4 + (j - 1) * (j - 1) + (i - 2) * (i - 2) <= 6.25",
+)
+def region_box_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A half-open box, and a sphere in mm (spacing 2, 1, 1)."""
+    k, j, i = F.col("k"), F.col("j"), F.col("i")
+    d2 = (k - 1.5) * (k - 1.5) * 4 + (j - 1) * (j - 1) + (i - 2) * (i - 2)
+    return grid(spark, sf_dir).where((k >= 1) & (k < 3) & (j < 3) & (d2 <= 6.25)).select("vol", "k", "j", "i")
+
+
+@CATALOG.add("auto_crop", f"SELECT vol, {', '.join(f'greatest(0, min({c}) - 1) AS low_{c}, least(3, max({c}) + 1) AS high_{c}' for c in 'kji')} FROM ({largest_sql(M_SQL)}) GROUP BY vol")
+def auto_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box around the largest component, widened by one and held to the grid."""
+    from heddle.operators import voxels as V
+
+    box = M.bounding_box(V.largest(V.label_small(mask(spark, sf_dir), (4, 4, 4))), ["vol"], "kji")
+    ends = [e for c in "kji" for e in (F.greatest(F.lit(0), F.col(f"low_{c}") - 1).alias(f"low_{c}"), F.least(F.lit(3), F.col(f"high_{c}") + 1).alias(f"high_{c}"))]
+    return box.select("vol", *ends)
+
+
+@CATALOG.add(
+    "plane_mean9",
+    f"SELECT a.vol, a.k, a.j, a.i, round(sum(b.v) / 9, 6) AS v FROM ({G_SQL}) a, (VALUES (-1), (0), (1)) x(dj), (VALUES (-1), (0), (1)) y(di), ({G_SQL}) b WHERE a.vol = b.vol AND a.k = b.k AND b.j = greatest(0, least(3, a.j + dj)) AND b.i = greatest(0, least(3, a.i + di)) GROUP BY a.vol, a.k, a.j, a.i",
+)
+def plane_mean9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    d = grid(spark, sf_dir)
+    for axis in "ji":
+        w = Window.partitionBy(*[c for c in ("vol", "k", "j", "i") if c != axis]).orderBy(axis)
+        d = d.withColumn("v", F.coalesce(F.lag("v").over(w), "v") + F.col("v") + F.coalesce(F.lead("v").over(w), "v"))
+    return d.withColumn("v", F.round(F.col("v") / 9, 6))
+
+
+_B = "SELECT vol, k, j, i, (coalesce(lag(v) OVER (PARTITION BY vol, {p} ORDER BY {c}), 0) + 2 * v + coalesce(lead(v) OVER (PARTITION BY vol, {p} ORDER BY {c}), 0)) / 4 AS v FROM ({s})"
+BLUR_SQL = _B.format(c="i", p="k, j", s=_B.format(c="j", p="k, i", s=_B.format(c="k", p="j, i", s=G_SQL)))
+
+
+@CATALOG.add("blur_121", f"SELECT vol, k, j, i, round(v, 6) AS v FROM ({BLUR_SQL})")
+def blur_121(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    d = grid(spark, sf_dir)
+    for axis in "kji":
+        w = Window.partitionBy(*[c for c in ("vol", "k", "j", "i") if c != axis]).orderBy(axis)
+        d = d.withColumn("v", (F.coalesce(F.lag("v").over(w), F.lit(0.0)) + 2 * F.col("v") + F.coalesce(F.lead("v").over(w), F.lit(0.0))) / 4)
+    return d.withColumn("v", F.round("v", 6))
+
+
+@CATALOG.add("component_cleanup", f"SELECT vol, k, j, i FROM {label_sql(M_SQL)} l SEMI JOIN (SELECT vol, label FROM {label_sql(M_SQL)} GROUP BY ALL HAVING count(*) >= 4) b USING (vol, label)")
+def component_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of four voxels and more."""
+    from heddle.operators import voxels as V
+
+    labels = V.label_small(mask(spark, sf_dir), (4, 4, 4))
+    big = labels.groupBy("vol", "label").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    return labels.join(big, ["vol", "label"], "left_semi").select("vol", "k", "j", "i")
+
+
+@CATALOG.add(
+    "slice_overlap",
+    f"""WITH l AS (SELECT * FROM {label_sql(M_SQL, True)}) SELECT vol, k, label, other, n FROM (SELECT a.vol, a.k, a.label, b.label AS other, count(*) AS n, row_number() OVER (PARTITION BY a.vol, a.label ORDER BY count(*) DESC, b.label) AS r
+        FROM l a JOIN l b ON a.vol = b.vol AND b.k = a.k - 1 AND a.j = b.j AND a.i = b.i GROUP BY a.vol, a.k, a.label, b.label) WHERE r = 1""",
+)
+def slice_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each in-plane component the component of the slice before that it shares most cells with; of equals the first."""
+    from heddle.operators import voxels as V
+
+    a = V.label_small(mask(spark, sf_dir), (4, 4, 4), True)
+    b = a.select("vol", (F.col("k") + 1).alias("k"), "j", "i", F.col("label").alias("other"))
+    n = a.join(b, ["vol", "k", "j", "i"]).groupBy("vol", "k", "label", "other").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("vol", "k", "label").agg(F.max(F.struct("n", (-F.col("other")).alias("o"))).alias("m"))
+    return best.select("vol", "k", "label", (-F.col("m.o")).alias("other"), "m.n")
+
+
+@CATALOG.add("follow_path")
+def follow_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL form: each slice's choice depends on the choice before."""
+    from heddle.operators import paths
+    from heddle.operators import voxels as V
+
+    cells = V.label_small(mask(spark, sf_dir), (4, 4, 4), True)
+    pieces = cells.groupBy("vol", F.col("k").alias("slice"), F.col("label").alias("piece")).agg(F.array_sort(F.collect_list(F.col("j") * 4 + F.col("i"))).alias("cells"), F.avg("j").alias("ca"), F.avg("i").alias("cb"))
+    return paths.follow(pieces, 1.5)
+
+
+@CATALOG.add("named_zones", "SELECT zone, min(n) AS first, max(n) AS last FROM (SELECT CAST(floor(s / 10) AS INTEGER) AS zone, l_linenumber AS n FROM (SELECT l_quantity AS s, l_linenumber FROM lineitem) WHERE s BETWEEN 10 AND 45) GROUP BY zone")
+def named_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").where("l_quantity between 10 and 45")
+    return d.groupBy(F.floor(F.col("l_quantity") / 10).cast("int").alias("zone")).agg(F.min("l_linenumber").alias("first"), F.max("l_linenumber").alias("last"))

@@ -66,3 +66,67 @@ def key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     a, b = p.where("p_partkey <= 50").select(F.col("p_type").alias("v")), p.where("p_partkey > 1900").select(F.col("p_type").alias("v"))
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("first")))
+
+
+@CATALOG.add(
+    "clock12",
+    """SELECT o_orderkey, CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END || ':' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0') || CASE WHEN h < 12 THEN ' a.m.' ELSE ' p.m.' END AS clock,
+       ['dom','lun','mar','mié','jue','vie','sáb'][dayofweek(o_orderdate) + 1] || ' ' || day(o_orderdate) || ' ' || ['ene','feb','mar','abr','may','jun','jul','ago','sep','oct','nov','dic'][month(o_orderdate)] AS label FROM (SELECT *, o_orderkey % 24 AS h FROM orders)""",
+)
+def clock12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("o_orderkey") % 24
+    twelve = F.when(h % 12 == 0, 12).otherwise(h % 12)
+    clock = F.concat(twelve.cast("string"), F.lit(":"), F.lpad((F.col("o_custkey") % 60).cast("string"), 2, "0"), F.when(h < 12, " a.m.").otherwise(" p.m."))
+    days, months = (F.array(*map(F.lit, n.split())) for n in ("dom lun mar mié jue vie sáb", "ene feb mar abr may jun jul ago sep oct nov dic"))
+    label = F.concat_ws(" ", F.element_at(days, F.dayofweek("o_orderdate")), F.dayofmonth("o_orderdate").cast("string"), F.element_at(months, F.month("o_orderdate")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", clock.alias("clock"), label.alias("label"))
+
+
+@CATALOG.add("palette_fallback", "SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'red' WHEN 'Brand#22' THEN 'blue' ELSE ['a', 'b', 'c'][n % 3 + 1] END AS colour FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part)")
+def palette_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named colour, else one of the palette by place."""
+    from pyspark.sql import Window
+
+    named = F.create_map(*[F.lit(x) for x in ("Brand#11", "red", "Brand#22", "blue")])
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", n.alias("n"))
+    return p.select("p_partkey", F.coalesce(F.try_element_at(named, F.col("p_brand")), F.element_at(F.array(*map(F.lit, "abc")), (F.col("n") % 3 + 1).cast("int"))).alias("colour"))
+
+
+@CATALOG.add("unknown_keys", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'extra' ELSE '' END AS unknown FROM events")
+def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys outside the list; those that begin with '_' are comments."""
+    keys = F.map_keys(F.from_json(F.when(F.col("event_id") % 3 == 0, '{"k": "1", "extra": "2", "_note": "3"}').otherwise('{"k": "1", "_note": "3"}'), "map<string,string>"))
+    odd = F.array_except(F.filter(keys, lambda k: ~k.startswith("_")), F.array(F.lit("k")))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(odd), ",").alias("unknown"))
+
+
+@CATALOG.add("agenda_split", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'coming' ELSE 'past' END ELSE 'errand' END AS kind FROM orders")
+def agenda_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appointments to come and past, compared as ISO text; anything that isn't an appointment, or has no kind, is an errand."""
+    day = F.coalesce(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(""))
+    kind = F.when(F.col("o_orderpriority").startswith("1"), F.when((day != "") & (day >= "1998-01-01"), "coming").otherwise("past")).otherwise("errand")
+    return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"))
+
+
+@CATALOG.add("style_defaults", "SELECT p_name AS k, arg_min(CASE WHEN p_size % 2 = 0 THEN p_size / 50.0::DOUBLE ELSE 1.0 END, p_partkey) AS alpha, min(p_partkey) AS first FROM part WHERE p_partkey % 10 <> 0 GROUP BY p_name")
+def style_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults fill gaps, the first of repeated keys wins, rows without a key are dropped."""
+    p = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 10 != 0, F.col("p_name")).alias("k"), F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_size") / 50.0), F.lit(1.0)).alias("a"), "p_partkey")
+    return p.where("k is not null").groupBy("k").agg(F.min_by("a", "p_partkey").alias("alpha"), F.min("p_partkey").alias("first"))
+
+
+@CATALOG.add("seed_to_grid", "SELECT p_partkey, CAST(round_even((p_size - 4 - 0.5) / 2, 0) AS INTEGER) AS k, round_even((p_size - 4 - 0.5) / 2, 0) BETWEEN 0 AND 19 AS inside FROM part")
+def seed_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.operators.geometry import to_reduced
+
+    k = F.rint(to_reduced(F.col("p_size"), 4, 2))
+    return table(spark, sf_dir, "part").select("p_partkey", k.cast("int").alias("k"), k.between(0, 19).alias("inside"))
+
+
+@CATALOG.add("point_spellings", "SELECT event_id, round(value / CASE WHEN event_id % 2 = 0 THEN 10 ELSE 1 END, 6) AS cm FROM events")
+def point_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same measure under several keys and units."""
+    raw = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("value").alias("radio_mm")))).otherwise(F.to_json(F.struct(F.col("value").alias("radio"))))
+    p = F.from_json(raw, "radio double, radio_mm double, radius double")
+    return table(spark, sf_dir, "events").select("event_id", p.alias("p")).select("event_id", F.round(F.coalesce("p.radio", "p.radius", F.col("p.radio_mm") / 10), 6).alias("cm"))

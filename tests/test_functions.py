@@ -136,3 +136,19 @@ def test_markup():
     html = '<div class="ad">a<div class="ad">b</div></div><p>c</p><br class="ad"/><div class="ad">open'
     assert [html[i:j] for i, j, _, _ in M.outermost(html, lambda t, a: "ad" in (a.get("class") or ""))] == ['<div class="ad">a<div class="ad">b</div></div>', '<br class="ad"/>']
     assert M.without_comments('{"a": 1, "_b": 2, "c": [{"_d": 1, "e": null}]}') == '{"a":1,"c":[{"e":null}]}'
+
+
+def test_follow_a_lumen(spark):
+    from heddle.operators import paths
+
+    rows = [(1, 0, 1, [1, 2, 3], 0.0, 0.0), (1, 0, 2, [9], 5.0, 5.0), (1, 1, 3, [3, 4], 0.5, 0.0), (1, 1, 4, [1], 0.0, 0.0), (1, 3, 5, [40], 9.0, 9.0), (1, 4, 6, [4], 1.0, 0.0), (1, 4, 7, [50, 51], 8.0, 8.0)]
+    d = spark.createDataFrame(rows, "vol long, slice int, piece long, cells array<int>, ca double, cb double")
+    assert [(r.slice, r.piece, r.gap) for r in paths.follow(d, 1.5).orderBy("slice").collect()] == [(0, 1, False), (1, 3, False), (2, -1, True), (3, -1, True), (4, 6, False)]
+
+
+def test_frames_stay_unit_and_upright(spark):
+    from heddle.operators import paths
+
+    d = spark.createDataFrame([(1, i, float(i), float(i * i) / 10, 0.0) for i in range(8)], "path long, n int, x double, y double, z double")
+    rows = paths.frames(d).orderBy("n").collect()
+    assert all(abs(r.nx**2 + r.ny**2 + r.nz**2 - 1) < 1e-9 for r in rows) and all(abs(r.nz) > 0.999 for r in rows)
