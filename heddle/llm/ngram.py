@@ -42,14 +42,16 @@ from pyspark.sql import functions as F
 
 from .labelled import remainder
 from .work import Work, partitions, table
+from .worker import kept, only
 
 END = b"\n"
 #: Different words and tokens that a task holds before it hands on what it has counted.
 WORDS, TOKENS = 400_000, 2_000_000
 #: Tokens that a worker scores at a time, and words whose ids it keeps.
 AT_ONCE, KEPT, LONGEST = 1_000_000, 800_000, 64
+#: Buckets are a power of two, the number of shuffle partitions at least and 2 ** BITS at most.
+BITS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_kept: dict = {}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -104,13 +106,16 @@ def _write(uri: str, array: np.ndarray) -> None:
     fs.move(part, path)
 
 
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
 def _map(uri: str) -> np.ndarray:
     fs, path = pyarrow.fs.FileSystem.from_uri(uri)
     if not isinstance(fs, pyarrow.fs.LocalFileSystem):  # a store that can't be mapped: one copy for each worker
-        if "local" not in _kept:
-            _kept["local"] = tempfile.mkdtemp()
-            atexit.register(shutil.rmtree, _kept["local"], True)
-        own = os.path.join(_kept["local"], uuid.uuid4().hex)
+        own = os.path.join(_own_folder(), uuid.uuid4().hex)
         pyarrow.fs.copy_files(path, own, source_filesystem=fs, destination_filesystem=pyarrow.fs.LocalFileSystem())
         path = own
     return np.load(path, mmap_mode="r")
@@ -171,11 +176,7 @@ class Words:
 
 
 def _words(root: str, *args) -> Words:
-    if root not in _kept:
-        for old in [k for k in _kept if k != "local"]:  # a worker keeps one model
-            del _kept[old]
-        _kept[root] = Words(root, *args)
-    return _kept[root]
+    return kept(f"ngram {root}", root, lambda: Words(root, *args))
 
 
 def count_words(texts: DataFrame, root: str, bits: int) -> list[tuple[int, int, int]]:
@@ -188,6 +189,7 @@ def count_words(texts: DataFrame, root: str, bits: int) -> list[tuple[int, int,
         return _row_batch(rows, ["bucket", "n", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(f"ngram {root}")
         held: Counter = Counter()
         for b in batches:
             for text in b.column(0):
@@ -391,7 +393,7 @@ def fit(texts: DataFrame, work: Work) -> Model:
     if "://" not in root:
         root = root.replace("file:", "", 1)
         root = "file://" + root
-    bits = min(12, max(0, math.ceil(math.log2(partitions(spark)))))
+    bits = min(BITS, max(0, math.ceil(math.log2(partitions(spark)))))
     held = dict((b, (w, t)) for b, w, t in count_words(texts, root, bits))
     starts = np.concatenate([[0], np.cumsum([held.get(b, (0, 0))[0] for b in range(1 << bits)])]).astype(int).tolist()
     size, tokens = starts[-1], sum(t for _, t in held.values())

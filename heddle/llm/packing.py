@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .work import Work, ranked, table
+from .worker import kept
 
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks of text whose ids a worker keeps, and the longest that it keeps.
 KEPT, LONGEST = 1_500_000, 64
-_loaded: dict = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -69,9 +69,7 @@ class WordIds:
 
 
 def word_ids(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    return kept("packing", path, lambda: WordIds(path))
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .labelled import remainder, sample
 from .work import Work, table
+from .worker import only
 
 ZEROS, ONES = 1000, 2000
 BITS, WIDTH, EPOCHS, RATE, SEED = 17, 8, 5, 0.5, 11
@@ -141,6 +142,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         model = held.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(x.as_py() or "") for x in b.column(1)], pa.float64())], ["id", "score"])

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .work import Work, table
+from .worker import only
 
 SEED = 42
 RADIUS = 3
@@ -70,6 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            only("simhash")
             fp = np.array([majorities(x.as_py(), n, SEED, tables) for x in b.column(1)], np.uint64).reshape(b.num_rows, tables)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fp[:, t]).view(np.int64)) for t in range(tables))], ["id", *names])
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .work import Work, table
+from .worker import only
 
 LEAST, LONG, MARK = 16, 16, 4
 _CUT = re.compile(r"(?<=[.!?])(?=[ \t\r\n\v\f])|(?<=\n)")
@@ -108,6 +109,7 @@ def dedup(docs: DataFrame, work: Work) -> DataFrame:
     """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("spans")
         for b in batches:
             ids, out = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):

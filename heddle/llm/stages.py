@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import mixing, packing, simhash, spans, toxicity
 from .work import Work, ranked, table
+from .worker import only
 
 
 #: Fingerprint tables of the near-copy stage: one finds about half of the pairs that share nine tenths of their words, eight nearly all.
@@ -43,6 +44,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         index = held.value
         for b in batches:
             yield b.filter(pa.array([index.score(x.as_py() or "")[0] < 0.5 for x in b.column(at)], pa.bool_()))

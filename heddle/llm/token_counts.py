@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from .packing import tokenizer_path
 from .work import table
+from .worker import kept
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 PENALTY = 10.0
 KEPT, LONGEST = 500_000, 64
 NORMAL = 1
-_loaded: dict = {}
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -121,9 +121,7 @@ class Counter:
 
 
 def counter(path: str) -> Counter:
-    if path not in _loaded:
-        _loaded[path] = Counter(vocabulary(path))
-    return _loaded[path]
+    return kept("token counts", path, lambda: Counter(vocabulary(path)))
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .labelled import remainder, sample
 from .work import Work, table
+from .worker import only
 
 POSITIVE, NEGATIVE, VOCABULARY, LEAST = 1000, 1000, 400, 5
 NEIGHBOURS, POWER, SMOOTH, BLOCK = 15, 4, 0.05, 64
@@ -178,6 +179,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         index = held.value
         for b in batches:
             got = [index.score(x.as_py() or "") for x in b.column(1)]
