@@ -77,7 +77,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = numbered(work, docs, row)
     emitted = mixing.copies(known.select(F.col(row).alias("doc_id"), "text", "source"))
     emitted = work.save(emitted.where("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").cast("int").alias(times)), "emitted")
-    out = known.join(emitted, row)
+    out = known.join(emitted.hint("merge"), row)  # at every size the text moves; a broadcast would hold a row for each document
     return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
