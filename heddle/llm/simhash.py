@@ -198,6 +198,7 @@ def groups(prints: DataFrame, work: Work, radius: int = RADIUS, chunk: int = CHU
             same = prints.where("id is not null").select(F.col(tables[0]).alias("__a"), F.col(fp).alias("__b")).distinct()
             same = same.join(name0, "__a").join(name, "__b").select("a", "b").where("a <> b").distinct()
             own = own.unionByName(same)
+        own = work.save(own, "links") if len(tables) > 1 else own  # else one plan would hold the joins of all tables
         every = own if every is None else every.unionByName(own)
     found = work.save(components(work, every), "found")
     moved = firsts[0].join(found.withColumnRenamed("node", "first"), "first", "left")
