@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .work import SPACE, partitions, table
 
-SAMPLES, SHINGLE = 16, 5
-#: Ranges of ids, at most; their bounds are collected.
-RANGES = 1024
+SAMPLES, SHINGLE = 24, 5
+#: Ranges of ids, at most; their bounds are collected, and looked up in two steps of FAN at most.
+RANGES, FAN = 1 << 16, 1 << 8
 _STEP = float(1 << 21)
 
 
@@ -85,12 +85,16 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = min(RANGES, 8 * partitions(spark))
-    row = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("cuts"), F.min("doc_id").alias("low")).first()
+    row = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("cuts"), F.min("doc_id").alias("low")).first()
     low, cuts = row["low"], sorted({c for c in (row["cuts"] or []) if c != row["low"]})
-    held = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(held, lambda c: c <= F.col("doc_id"))))
+    step = max(1, -(-len(cuts) // FAN))
+    coarse, fine = (F.from_json(F.lit(str(x)), t) for x, t in ((cuts[::step], "array<bigint>"), ([cuts[i : i + step] for i in range(0, len(cuts), step)], "array<array<bigint>>")))
+    below = lambda held: F.size(F.filter(held, lambda c: c <= F.col("doc_id")))
+    d = d.withColumn("block", F.when(F.col("doc_id").isNotNull(), below(coarse)))
+    own = F.when(F.col("block") > 0, F.element_at(fine, F.col("block")))
+    place = F.when(F.col("block").isNull(), F.lit(len(cuts))).when(F.col("block") == 0, F.lit(0)).otherwise((F.col("block") - 1) * step + below(own))
     # the first document of a range closes the range before it, and the first of all closes the last
-    closes = F.when(F.col("doc_id") == F.lit(low), F.lit(len(cuts))).when(F.array_contains(held, F.col("doc_id")), F.col("range") - 1)
+    closes = F.when(F.col("doc_id") == F.lit(low), F.lit(len(cuts))).when(F.array_contains(own, F.col("doc_id")), F.col("range") - 1)
     if low is None:  # no ids at all: every row is in one range, which the least text closes
         first = d.agg(F.min("text").alias("t")).first()["t"]
         closes = F.when(F.col("text") == F.lit(first), F.lit(0))
