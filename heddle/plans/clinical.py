@@ -108,7 +108,7 @@ def price_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("l_partkey").agg(F.max_by("l_extendedprice", F.struct(F.col("l_returnflag") == "A", "l_shipdate", "l_extendedprice")).alias("price"))
 
 
-@CATALOG.add("disqualified", "SELECT p_partkey, p_size < 8 AS small, p_type LIKE '%STEEL%' AS bad_kind, round(p_size * 0.5, 2) AS range_low, round(p_size * 0.6, 2) AS range_high FROM part")
+@CATALOG.add("disqualified", "SELECT p_partkey, p_size < 8 AS small, p_type LIKE '%STEEL%' AS bad_kind, round(p_size * 0.5::DOUBLE, 2) AS range_low, round(p_size * 0.6::DOUBLE, 2) AS range_high FROM part")
 def disqualified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") < 8).alias("small"), F.contains("p_type", F.lit("STEEL")).alias("bad_kind"), F.round(F.col("p_size") * 0.5, 2).alias("range_low"), F.round(F.col("p_size") * 0.6, 2).alias("range_high"))
 

@@ -67,7 +67,7 @@ def label_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     "station_summary",
     """WITH s AS (SELECT l_suppkey, CAST(l_orderkey * 10 + l_linenumber AS DOUBLE) AS s, l_quantity AS t, l_extendedprice AS r, l_returnflag = 'R' AS c FROM lineitem),
        o AS (SELECT l_suppkey, arg_max(s, t * 1e9 - s) AS thickest_at, arg_min(s, r * 1e9 + s) FILTER (NOT c) AS narrowest_at FROM s GROUP BY l_suppkey)
-       SELECT l_suppkey, count(*) FILTER (t > 40) * 2.0 AS length_over, max(t) AS thickest, thickest_at, round(2 * min(r) FILTER (NOT c), 2) AS narrowest, narrowest_at, count(*) FILTER (c) * 2.0 AS closed_length, median(t) FILTER (t > 40) AS median_over
+       SELECT l_suppkey, count(*) FILTER (t > 40) * 2.0::DOUBLE AS length_over, max(t) AS thickest, thickest_at, round(2 * min(r) FILTER (NOT c), 2) AS narrowest, narrowest_at, count(*) FILTER (c) * 2.0::DOUBLE AS closed_length, median(t) FILTER (t > 40) AS median_over
        FROM s JOIN o USING (l_suppkey) GROUP BY l_suppkey, thickest_at, narrowest_at""",
 )
 def station_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
