@@ -28,7 +28,7 @@ CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks of text whose ids a worker keeps, and the longest that it keeps.
-KEPT, LONGEST = 1_500_000, 64
+KEPT, LONGEST = 690_000, 64
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -58,14 +58,16 @@ class WordIds:
         if any(s in text for s in self.special):
             return self._new([text])[0]
         chunks, kept = text.replace("\n", " ").split(" "), self.kept
-        missing = [c for c in set(chunks) if c not in kept]
-        if not missing:
-            return b"".join([kept[c] for c in chunks])
-        new = dict(zip(missing, self._new(missing)))
-        out = b"".join([kept[c] if c in kept else new[c] for c in chunks])
-        if len(kept) < KEPT:
-            kept.update((c, i) for c, i in new.items() if len(c) <= LONGEST)
-        return out
+        parts = list(map(kept.get, chunks))
+        missing = [i for i, p in enumerate(parts) if p is None]
+        if missing:
+            words = list({chunks[i] for i in missing})
+            new = dict(zip(words, self._new(words)))
+            for i in missing:
+                parts[i] = new[chunks[i]]
+            if len(kept) < KEPT:
+                kept.update((c, i) for c, i in new.items() if len(c) <= LONGEST)
+        return b"".join(parts)
 
 
 def word_ids(path: str) -> WordIds:
