@@ -26,7 +26,7 @@ from .worker import only
 
 POSITIVE, NEGATIVE, VOCABULARY, LEAST = 1000, 1000, 400, 5
 NEIGHBOURS, POWER, SMOOTH, BLOCK = 15, 4, 0.05, 64
-KEPT, LONGEST = 400_000, 64
+KEPT, LONGEST = 340_000, 64
 EDGE = ".,;:!?*%&$#\"'()[]"
 
 
