@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, spans, toxicity
+from . import mixing, near, packing, spans, toxicity
 from .work import Work, ranked, table
 from .worker import only
 
 
-#: Fingerprint tables of the near-copy stage: one finds about half of the pairs that share nine tenths of their words, eight nearly all.
+#: Fingerprint tables with which the near copies were once decided; only a test reads it.
 TABLES = 8
 
 
@@ -53,13 +53,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingle sets alike by 0.8 or more) the document with the smallest doc_id stays."""
     work = Work(spark, "stage-simhash")
     row = spare(docs, "row")
     known = numbered(work, docs, row)
-    prints = work.save(simhash.fingerprints(known, row, tables=TABLES), "prints")
-    gone = work.save(simhash.groups(prints, work).where("id <> component_id").select(F.col("id").alias(row)), "gone")
-    return known.join(gone, row, "left_anti").select(*docs.columns)
+    kept = work.save(near.kept(known, row, work).select(F.col("id").alias(row)), "kept")
+    return known.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
