@@ -62,9 +62,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the sentences of spans that an earlier document, or an earlier place, has."""
-    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    cut = spans.dedup(packed, Work(spark, "stage-spans"))
+    """Texts without the sentences of spans that an earlier document, or an earlier place, has. Rows without doc_id, or that
+    share one, are documents of their own."""
+    work = Work(spark, "stage-spans")
+    row = spare(docs, "row")
+    known = numbered(work, docs, row)
+    packed = known.select(F.col(row).alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[known[c] for c in docs.columns]).alias("row"))
+    cut = spans.dedup(packed, work)
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("removed") > 0, F.length("text")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
     return cut.select(*[changed.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
