@@ -1,13 +1,12 @@
-"""Plumbing shared by the text operators: intermediate tables, distributed ranks, column packing."""
+"""Plumbing shared by the text operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.work import Work, partitions, ranked, shared_root  # noqa: F401
+
 #: ASCII white space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,81 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            root = held
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="heddle-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-class Work:
-    """Written tables that cut lineage: they lie in the shared folder, so a lost executor loses none of them.
-
-    Tables are deleted by drop(), or else when the JVM ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def _fs(self, path: str):
-        jvm, jsc = self.spark._jvm, self.spark.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(jsc.hadoopConfiguration()), p
-
-    def folder(self, name: str) -> str:
-        fs, p = self._fs(f"{self.root}/{name}")
-        fs.mkdirs(p)
-        _, top = self._fs(self.root)
-        fs.deleteOnExit(top)
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{name}-{self._n}"
-        df.write.parquet(path)
-        fs, top = self._fs(self.root)
-        fs.deleteOnExit(top)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._heddle_path = path
-        return out
-
-    def drop(self, *saved: DataFrame) -> None:
-        for df in saved:
-            fs, p = self._fs(df._heddle_path)
-            fs.delete(p, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def unit(key: str, seed: int = 0) -> Column:
     """A fixed number in [0, 1) with 24 bits, from the MD5 of a nullable string column; DuckDB can compute the same one."""
     text = F.concat(F.coalesce(F.concat(F.lit("s"), F.col(key)), F.lit("n")), F.lit(f"|{seed}"))
     return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("double") / F.lit(float(1 << 24))
-
-
-def ranked(work: Work, df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
-    """df with column out: the row's rank from 1 within the group by, in the given order.
-
-    No group meets in one task: rows are dealt by range over (by, order), each range is ranked by itself, and the
-    counts of the ranges before it (a row for each range and group) are added.
-    """
-    pid = "__pid"
-    keys = [F.col(c).asc_nulls_last() for c in by + order]
-    dealt = work.save(df.repartitionByRange(partitions(work.spark), *keys).withColumn(pid, F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy(*by, pid).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*by).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col(pid).alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = Window.partitionBy(*by, pid).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    rows = dealt.withColumn("__rn", F.row_number().over(local))
-    on = [rows[pid] == counts["__p"]] + [rows[c].eqNullSafe(counts[f"__by{i}"]) for i, c in enumerate(by)]
-    return rows.join(counts, on, "left").select(*df.columns, (F.col("__rn") + F.coalesce(F.col("__before"), F.lit(0))).cast("long").alias(out))

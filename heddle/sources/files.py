@@ -118,8 +118,7 @@ class _PagesReader(DataSourceReader):
 
 def numbered_names(existing: DataFrame, new: DataFrame, order: list[str], stem: str) -> DataFrame:
     """new with a file name each, numbered on from the highest number that `existing` (name) has, so nothing is overwritten."""
-    from pyspark.sql import Window
+    from heddle.work import Work, ranked
 
     top = existing.agg(F.coalesce(F.max(F.regexp_extract("name", rf"^{stem}-(\d+)", 1).try_cast("int")), F.lit(0)).alias("__top"))
-    place = F.row_number().over(Window.orderBy(*order))
-    return new.withColumn("__n", place).join(F.broadcast(top)).withColumn("name", F.format_string(stem + "-%04d", F.col("__n") + F.col("__top"))).drop("__n", "__top")
+    return ranked(Work(new.sparkSession, "names"), new, [], order, "__n", nulls_last=False).join(F.broadcast(top)).withColumn("name", F.format_string(stem + "-%04d", F.col("__n") + F.col("__top"))).drop("__n", "__top")
