@@ -28,12 +28,12 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -41,21 +41,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import remainder
+from .words import encoded, portions
 from .work import Work, partitions, table
-from .worker import kept, only
+from .worker import kept, only, trimmed
 
 END = b"\n"
 #: Different words and tokens that a task holds before it hands on what it has counted.
 WORDS, TOKENS = 400_000, 2_000_000
-#: Tokens that a worker scores at a time, and words whose ids it keeps.
-AT_ONCE, KEPT, LONGEST = 1_000_000, 800_000, 64
 #: Buckets are a power of two, the number of shuffle partitions at least and 2 ** BITS at most.
 BITS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the words (A-Z lowered) of texts, the number of words of each, and the hashes of the different words."""
+    codes, sizes, words = encoded(pc.ascii_lower(texts.cast(pa.large_string())))
+    return codes, sizes, np.array([hash_of(w) for w in words.cast(pa.large_binary()).to_pylist()], np.uint64)
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids with an end after each text, and where each text starts."""
+    last = np.cumsum(sizes + 1) - 1
+    out = np.empty(len(ids) + len(sizes), np.int64)
+    word = np.ones(len(out), bool)
+    word[last] = False
+    out[word], out[last] = ids, end
+    return out, last - sizes
 
 
 def hash_of(word: bytes) -> int:
@@ -142,7 +153,6 @@ class Words:
     def __init__(self, root: str, bits: int, starts: list[int], size: int):
         self.root, self.bits, self.starts, self.size = root, bits, np.array(starts, np.int64), size
         self.arrays: dict[int, np.ndarray] = {}
-        self.kept: dict[bytes, int] = {}
 
     def hashes(self, b: int) -> np.ndarray:
         if b not in self.arrays:
@@ -150,8 +160,8 @@ class Words:
             self.arrays[b] = np.empty(0, np.uint64) if empty else _map(f"{self.root}/word-{b}")
         return self.arrays[b]
 
-    def find(self, words: list[bytes]) -> np.ndarray:
-        h = np.array([hash_of(w) for w in words], np.uint64)
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The ids of hashes."""
         out = np.full(len(h), self.size + 1, np.int64)
         order = np.argsort(h)
         h, got = h[order], np.full(len(h), self.size + 1, np.int64)
@@ -163,16 +173,11 @@ class Words:
         out[order] = got
         return out
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        kept = self.kept
-        missing = list({w for w in words if w not in kept})
-        if not missing:
-            return np.array([kept[w] for w in words], np.int64)
-        new = dict(zip(missing, self.find(missing).tolist()))
-        out = np.array([kept[w] if w in kept else new[w] for w in words], np.int64)
-        if len(kept) < KEPT:
-            kept.update((w, i) for w, i in new.items() if len(w) <= LONGEST)
-        return out
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of the texts, each text with its end, and where each text starts."""
+        codes, sizes, h = words_of(texts)
+        found = self.find(np.append(h, np.uint64(hash_of(END))))
+        return with_ends(found[codes], sizes, int(found[-1]))
 
 
 def _words(root: str, *args) -> Words:
@@ -182,22 +187,22 @@ def _words(root: str, *args) -> Words:
 def count_words(texts: DataFrame, root: str, bits: int) -> list[tuple[int, int, int]]:
     """Writes the sorted hash arrays and their counts; returns bucket, different words and tokens."""
 
-    def flush(held: Counter) -> pa.RecordBatch:
-        h = np.array([hash_of(w) for w in held], np.uint64)
-        h, n = _summed(h, np.fromiter(held.values(), np.int64, len(held)))
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, n = _summed(*(np.concatenate(x) for x in zip(*held)))
         rows = [(b, len(at), _squeeze(h[at], n[at].astype(np.uint32))) for b, at in _split(hash_bucket(h, bits), 1 << bits)]
         return _row_batch(rows, ["bucket", "n", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(f"ngram {root}")
-        held: Counter = Counter()
-        for b in batches:
-            for text in b.column(0):
-                held.update(words_of(text.as_py() or ""))
-                held[END] += 1
-                if len(held) > WORDS:
+        held, size = [], 0
+        for b in trimmed(batches):
+            for begin, end in portions(b.column(0)):
+                codes, _, h = words_of(b.column(0)[begin:end])
+                held.append((np.append(h, np.uint64(hash_of(END))), np.append(np.bincount(codes, minlength=len(h)), end - begin)))
+                size += len(h)
+                if size > WORDS:
                     yield flush(held)
-                    held = Counter()
+                    held, size = [], 0
         if held:
             yield flush(held)
 
@@ -229,11 +234,12 @@ def count_pairs(texts: DataFrame, root: str, bits: int, starts: list[int], size:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held, n = _words(root, bits, starts, size), [], 0
-        for b in batches:
-            for text in b.column(0):
-                ids = vocabulary.ids([*words_of(text.as_py() or ""), END]).astype(np.uint64)
-                before = np.concatenate([[np.uint64(size)], ids[:-1]])
-                held.append((before << np.uint64(32)) | ids)
+        for b in trimmed(batches):
+            for begin, end in portions(b.column(0)):
+                ids, first = vocabulary.ids(b.column(0)[begin:end])
+                before = np.concatenate([[size], ids[:-1]])
+                before[first] = size
+                held.append((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
                 n += len(ids)
                 if n > TOKENS:
                     yield flush(held)
@@ -343,19 +349,11 @@ class Model:
             out[at[hit]] = self._array(f"times-{b}")[place[hit]]
         return out
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and score of each text."""
-        vocabulary, size = _words(self.root, self.bits, self.starts, self.size), self.size
-        flat, lengths = [], []
-        for t in texts:
-            own = words_of(t)
-            flat += own
-            flat.append(END)
-            lengths.append(len(own) + 1)
-        ids = vocabulary.ids(flat)
-        del flat
-        lengths = np.array(lengths, np.int64)
-        starts = np.cumsum(lengths) - lengths
+        size = self.size
+        ids, starts = _words(self.root, self.bits, self.starts, size).ids(texts)
+        lengths = np.diff(starts, append=len(ids))
         before = np.concatenate([[size], ids[:-1]])
         before[starts] = size
         word, place = np.unique(ids, return_inverse=True)
@@ -409,15 +407,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for b in batches:
-            first, n, texts = 0, 0, []
-            for i in range(b.num_rows):
-                texts.append(b.column(1)[i].as_py() or "")
-                n += len(texts[-1]) // 5
-                if n > AT_ONCE or i == b.num_rows - 1:
-                    got = model.score(texts)
-                    yield pa.RecordBatch.from_arrays([b.column(0)[first : i + 1], *(pa.array(x) for x in got)], ["id", "n_tokens", "n_known", "base_score", "score"])
-                    first, n, texts = i + 1, 0, []
+        for b in trimmed(batches):
+            for begin, end in portions(b.column(1)):
+                got = model.score(b.column(1)[begin:end])
+                yield pa.RecordBatch.from_arrays([b.column(0)[begin:end], *(pa.array(x) for x in got)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     return docs.mapInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
 

@@ -18,17 +18,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import encoded, portions, spread
 from .work import Work, ranked, table
-from .worker import kept
+from .worker import kept, Memo, trimmed
 
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks of text whose ids a worker keeps, and the longest that it keeps.
-KEPT, LONGEST = 690_000, 64
+
+#: Words that the tokenizer gets at a time; what it returns is some hundred times as large.
+AT_ONCE = 1000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -38,36 +41,46 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordIds:
-    """Little-endian 32-bit ids of a text, as its tokenizer gives them without special tokens added.
+    """Little-endian 32-bit ids of texts, as their tokenizer gives them without special tokens added.
 
-    The tokenizer never joins text across a blank or line feed, so the ids of the chunks between them are kept by
-    chunk. A text that may hold a special token's own string is given to the tokenizer whole.
+    The tokenizer must never join text across white space, so that the ids of each different word serve all its places;
+    one that fails PROBE is refused. A text that may hold a special token's own string is given to the tokenizer whole.
     """
 
+    PROBE = "One two,  three\nfour's\t5 six. Ünï!\v a\fb\rc 's it 's"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.kept = Tokenizer.from_file(path), Memo()
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        if self._new([self.PROBE])[0] != b"".join(self._new(self.PROBE.split())):
+            raise ValueError(f"{path} joins text across white space")
 
     def _new(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._new([text])[0]
-        chunks, kept = text.replace("\n", " ").split(" "), self.kept
-        parts = list(map(kept.get, chunks))
-        missing = [i for i, p in enumerate(parts) if p is None]
-        if missing:
-            words = list({chunks[i] for i in missing})
-            new = dict(zip(words, self._new(words)))
-            for i in missing:
-                parts[i] = new[chunks[i]]
-            if len(kept) < KEPT:
-                kept.update((c, i) for c, i in new.items() if len(c) <= LONGEST)
-        return b"".join(parts)
+        parts = (chunks[at : at + AT_ONCE] for at in range(0, len(chunks), AT_ONCE))
+        return [np.asarray(x.ids, "<u4").tobytes() for p in parts for x in self.tokenizer.encode_batch_fast(p, add_special_tokens=False)]
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, in order; null counts as empty."""
+        kept = self.kept
+        for begin, end in portions(texts):
+            own = pc.fill_null(texts[begin:end], "")
+            odd = np.zeros(len(own), bool)
+            for s in self.special:
+                odd |= np.asarray(pc.match_substring(own, s))
+            codes, sizes, words = encoded(own)
+            words = words.to_pylist()
+            missing = [w for w in words if w not in kept]
+            new = dict(zip(missing, self._new(missing)))
+            kept.learn(new)
+            held = [kept[w] if w in kept else new[w] for w in words]
+            size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+            flat = spread(np.frombuffer(b"".join(held), "<u4"), (np.cumsum(size) - size)[codes], size[codes])
+            at = np.append(0, np.cumsum(size[codes]))[np.append(0, np.cumsum(sizes))]
+            for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                yield self._new([own[i].as_py()])[0] if odd[i] else flat[x:y].tobytes()
 
 
 def word_ids(path: str) -> WordIds:
@@ -79,10 +92,10 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = word_ids(path), np.asarray([END], "<u4").tobytes()
-        for b in batches:
+        for b in trimmed(batches):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = ids(text.as_py() or "") + end
+            for doc, raw in zip(b.column(0).to_pylist(), ids(b.column(1))):
+                raw += end
                 for at in range(0, len(raw), 4 * capacity):
                     part = raw[at : at + 4 * capacity]
                     rows.append((doc, at // (4 * capacity), at // 4, len(part) // 4, zlib.crc32(part)))
@@ -194,7 +207,7 @@ class Plan:
 def _places(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, per, first, offset = held.value
-        for b in batches:
+        for b in trimmed(batches):
             length, place = np.asarray(b.column("length")), np.asarray(b.column("place")) - 1
             key = (length << 40) + place
             at = np.searchsorted(keys, key, side="right") - 1

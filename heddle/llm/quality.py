@@ -9,7 +9,7 @@ are linear, so scoring needs one number for each bucket, and a worker keeps the
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import remainder, sample
+from .words import encoded, portions, sums
 from .work import Work, table
-from .worker import only
+from .worker import kept, Memo, trimmed
 
 ZEROS, ONES = 1000, 2000
 BITS, WIDTH, EPOCHS, RATE, SEED = 17, 8, 5, 0.5, 11
 BUCKETS = 1 << BITS
-KEPT, LONGEST = 400_000, 64
 AGAIN = 0x9E3779B97F4A7C15
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(64 - BITS)
@@ -52,7 +52,7 @@ def pairs(hashes: np.ndarray) -> np.ndarray:
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and their counts."""
-    words = text.split()
+    words = [w.decode("utf-8", "replace") for w in text.encode("utf-8", "surrogatepass").split()]
     if not words:
         return np.empty(0, np.uint32), np.empty(0, np.uint32)
     seen: dict[str, list[int]] = {}
@@ -92,41 +92,41 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]], seed: int = SEE
 
 class Model:
     def __init__(self, odds: np.ndarray, offset: float):
-        self.odds, self.offset = odds, offset
-        self.kept: dict[str, int] = {}
-        self.sums, self.sizes, self.hashes = np.zeros(1024), np.zeros(1024), np.zeros(1024, np.uint64)
-
-    def _add(self, word: str, at: int) -> None:
-        if at == len(self.sums):
-            self.sums, self.sizes, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.sizes, self.hashes))
-        own = pieces(word)
-        self.sums[at], self.sizes[at], self.hashes[at] = self.odds[own].sum(), len(own), xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self.odds, self.offset, self.name = odds, offset, uuid.uuid4().hex
+
+    def _word(self, word: bytes) -> tuple[float, int, int]:
+        """Sum and number of a word's own buckets, and its hash."""
+        own = pieces(word.decode("utf-8", "replace"))
+        return float(self.odds[own].sum()), len(own), xxhash.xxh64_intdigest(word)
+
+    def scores(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Scores of portions of the texts, in order; null counts as empty."""
+        memo = kept("quality", self.name, Memo)
+        for begin, end in portions(texts):
+            codes, sizes, words = encoded(texts[begin:end])
+            words = words.cast(pa.large_binary()).to_pylist()
+            new = {w: self._word(w) for w in words if w not in memo}
+            memo.learn(new)
+            held = [memo[w] if w in memo else new[w] for w in words]
+            own, n = (np.array([h[k] for h in held], np.float64) for k in (0, 1))
+            h = np.array([h[2] for h in held], np.uint64)[codes]
+            last = np.cumsum(sizes)[sizes > 0] - 1  # a pair doesn't reach over the end of a text
+            two = np.append(self.odds[pairs(h).astype(np.int64)], 0.0)[: len(h)]
+            two[last] = 0
+            total = sums(own[codes] + two, sizes)
+            count = sums(n[codes], sizes) + np.maximum(sizes - 1, 0)
+            yield 1 / (1 + np.exp(-np.clip(self.offset + total / np.maximum(count, 1), -30, 30)))
 
     def score(self, text: str) -> float:
-        words, kept = text.split(), self.kept
-        extra: dict[str, int] = {}
-        for w in set(words):
-            if w not in kept:
-                at = len(kept) + len(extra)
-                self._add(w, at)
-                extra[w] = at
-        at = np.array([kept[w] if w in kept else extra[w] for w in words] if extra else [kept[w] for w in words], np.int64)
-        total, n = 0.0, 0.0
-        if len(at):
-            two = pairs(self.hashes[at])
-            total, n = self.sums[at].sum() + self.odds[two.astype(np.int64)].sum(), self.sizes[at].sum() + len(two)
-        if len(kept) + len(extra) < KEPT and all(len(w) <= LONGEST for w in extra):
-            kept.update(extra)
-        logit = self.offset + (total / n if n else 0.0)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
+        return float(next(self.scores(pa.array([text])))[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, work: Work, label: str = "quality", mod: int = 5, out: int = 0) -> Model:
-    """Trains on the driver; what it collects is bounded by the sample and BUCKETS."""
+    """Trains on the driver, which gets the buckets of the ZEROS + ONES texts: 8 bytes for each of a text's different features."""
     texts, zeros, ones = sample(work, docs, labels, label, ZEROS, ONES, mod, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             got = [features(x.as_py() or "") for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], ["id", "y", "at", "n"])
 
@@ -138,14 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, work: Work, label: str = "quality",
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """id, score for every row of id, text; null and empty texts get the offset's score (0.5 without labels)."""
+    """id, score for every row of id, text; null and empty texts get the offset's score (0.5 without labels). Repeated rows
+    are scored each; an empty table gives an empty one."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("quality")
         model = held.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(x.as_py() or "") for x in b.column(1)], pa.float64())], ["id", "score"])
+        for b in trimmed(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([*model.scores(b.column(1)), np.empty(0)]))], ["id", "score"])
 
     return docs.mapInArrow(run, "id long, score double")
 

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import tokenizer_path
+from .words import encoded, portions, sums
 from .work import table
-from .worker import kept
+from .worker import kept, Memo, trimmed
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 PENALTY = 10.0
-KEPT, LONGEST = 500_000, 64
 NORMAL = 1
 
 
@@ -72,7 +72,7 @@ class Counter:
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.kept: dict[str, int] = {"": 0}
+        self.kept = Memo()
 
     def word(self, word: str) -> int:
         marked = MARK + word
@@ -105,19 +105,19 @@ class Counter:
         close(n, done, best, pieces, alone)
         return count[n]
 
+    def counts(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Counts of portions of the texts, in order; null counts as empty."""
+        kept = self.kept
+        for begin, end in portions(texts):
+            codes, sizes, words = encoded(texts[begin:end])
+            words = words.to_pylist()
+            new = {w: self.word(w) for w in words if w not in kept}
+            kept.learn(new)
+            own = np.array([kept[w] if w in kept else new[w] for w in words], np.float64)
+            yield sums(own[codes], sizes).astype(np.int64)
+
     def __call__(self, text: str) -> int:
-        for c in "\t\n\v\f\r":
-            if c in text:
-                text = text.replace(c, " ")
-        kept, words = self.kept, text.split(" ")
-        missing = [w for w in set(words) if w not in kept]
-        if not missing:
-            return sum([kept[w] for w in words])
-        new = {w: self.word(w) for w in missing}
-        total = sum([kept[w] if w in kept else new[w] for w in words])
-        if len(kept) < KEPT:
-            kept.update((w, n) for w, n in new.items() if len(w) <= LONGEST)
-        return total
+        return int(next(self.counts(pa.array([text])))[0])
 
 
 def counter(path: str) -> Counter:
@@ -131,9 +131,9 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        for b in batches:
-            n = [count(x.as_py() or "") for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+        for b in trimmed(batches):
+            n = np.concatenate([*count.counts(b.column(1)), np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], ["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
 
