@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from heddle.llm import labelled, ngram, quality, toxicity
 from heddle.llm.work import Work
@@ -15,7 +16,7 @@ def docs_of(spark, texts):
 
 def test_ngram_scores_match_brute_force(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    train = [ngram.words_of(t) + [ngram.END] for i, t in docs.items() if brute.remainder(i, 7) != 2]
+    train = [brute.word_list(t) + [ngram.END] for i, t in docs.items() if brute.remainder(i, 7) != 2]
     uni = Counter(w for x in train for w in x)
     n, v = sum(uni.values()), len(uni)
     pairs = Counter(p for x in train for p in zip([None, *x[:-1]], x))
@@ -42,7 +43,7 @@ def test_ngram_scores_match_brute_force(spark, sf):
     assert len(got) == len(docs)
     base = score = 0.0
     for r in got:
-        x = ngram.words_of(docs[r.doc_id]) + [ngram.END]
+        x = brute.word_list(docs[r.doc_id]) + [ngram.END]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(x), sum(w in uni for w in x), n, brute.remainder(r.doc_id, 7) == 2)
         assert math.isclose(r.base_score, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in x), rel_tol=1e-9)
         assert math.isclose(r.score, sum(math.log10(p(a, w)) for a, w in zip([None, *x[:-1]], x)), rel_tol=1e-9)
@@ -84,12 +85,14 @@ def test_sample_is_bounded_reproducible_and_leaves_the_fold_out(spark):
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
-    terms = [f"t{i}" for i in range(60)]
-    examples = [(i, int(rng.integers(2)), {int(t): float(rng.integers(1, 5)) for t in rng.choice(60, rng.integers(0, 6), replace=False)}) for i in range(700)]
+    terms = pa.array([f"t{i}" for i in range(60)], pa.large_string())
+    examples = [(i, int(rng.integers(2)), np.sort(rng.choice(60, m, replace=False)), rng.integers(1, 5, m).astype(float)) for i in range(700) for m in [int(rng.integers(0, 6))]]
     index = toxicity.Index(terms, rng.uniform(1, 5, 60), examples, (0.8, 0.2))
-    dense = index.blocks.transpose(0, 2, 1).reshape(-1, 60)
+    dense = np.zeros((len(index.ids), 60))
+    dense[np.repeat(np.arange(len(index.ids)), np.diff(index.begin)), index.at] = index.own
     for _ in range(200):
-        at, w = index.weights({int(t): float(rng.integers(1, 4)) for t in rng.choice(60, rng.integers(1, 8), replace=False)})
+        at = np.sort(rng.choice(60, rng.integers(1, 8), replace=False))
+        w = index.weights(at, rng.integers(1, 4, len(at)).astype(float))
         q = np.zeros(60)
         q[at] = w
         full = dense @ q
@@ -140,3 +143,71 @@ def test_quality_scores_are_the_features_mean(spark):
         logit = 0.25 + (model.odds[at] @ n / n.sum() if len(at) else 0)
         assert math.isclose(model.score(text), 1 / (1 + math.exp(-max(-30, min(30, logit)))), rel_tol=1e-9)
         assert model.score(text) == model.score(text)
+
+
+def test_toxicity_matches_brute_force(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in texts}
+    train = sorted(i for i in labels if brute.remainder(i, 5))
+
+    def terms(text):
+        found = Counter()
+        for w in text.lower().split():
+            w = w.strip(toxicity.EDGE)
+            found.update([w] * (w != "") + [w[:4] + "~"] * (len(w) > 4) + [w[:5] + "~"] * (len(w) > 5))
+        return found
+
+    own = {i: terms(t) for i, t in texts.items()}
+    df = Counter(t for c in own.values() for t in c)
+    n = [sum(labels[i] == y for i in train) for y in (0, 1)]
+    have = [Counter(t for i in train if labels[i] == y for t in own[i]) for y in (0, 1)]
+
+    def weight(t):
+        a, b = have[1][t] + 0.5, have[0][t] + 0.5
+        c, d = n[1] + 1 - a, n[0] + 1 - b
+        z = abs(math.log(a * d / b / c)) / math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+        return (math.log((1 + len(texts)) / (1 + df[t])) + 1) * math.log1p(math.exp(4 * (z - 3))) / 4
+
+    known = {t: weight(t) for t in {t for i in train for t in own[i]}}
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * known[t] for t, k in c.items() if t in known}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = {i: vector(own[i]) for i in train if own[i]}
+    share = [n[0] / len(train), n[1] / len(train)]
+    vote = {i: share[labels[i]] / n[labels[i]] * len(train) for i in vectors}
+
+    def odds(v, skip=None):
+        near = sorted(((sum(x * u.get(t, 0) for t, x in v.items()), i) for i, u in vectors.items() if i != skip), reverse=True)[: toxicity.NEIGHBOURS]
+        v = [(s**4 * vote[i], labels[i]) for s, i in near if s > 0]
+        p = (sum(x for x, y in v if y) + 0.05 * share[1]) / (sum(x for x, _ in v) + 0.05)
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        return math.log(p / (1 - p))
+
+    x = np.array([[odds(v, i), 1.0] for i, v in vectors.items()])
+    y, w, a = np.array([labels[i] for i in vectors]), np.array([vote[i] for i in vectors]), np.array([1.0, 0.0])
+    w = w / w.mean()
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ a))
+        a = a - np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (w * (p - y)) + a - [1.0, 0.0])
+    got = {r.doc_id: r.score for r in toxicity.op7_toxicity(spark, sf).collect()}
+    assert sorted(got) == sorted(texts)
+    for i, c in own.items():
+        assert math.isclose(got[i], 1 / (1 + math.exp(-a[0] * odds(vector(c)) - a[1])), rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_quality_query_is_training_and_scoring_of_whole_texts(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in texts}
+    train = sorted(i for i in labels if brute.remainder(i, 5))
+    n = Counter(labels[i] for i in train)
+    assert n[0] <= quality.ZEROS and n[1] <= quality.ONES  # so every label is learned from, with weight one
+    odds, offset = quality.train([(*quality.features(texts[i]), labels[i], 1.0) for i in train])
+    got = {r.doc_id: r for r in quality.op9_quality(spark, sf).collect()}
+    assert sorted(got) == sorted(texts)
+    for i, t in texts.items():
+        at, k = quality.features(t)
+        want = 1 / (1 + math.exp(-(offset + (odds[at] @ k / k.sum() if len(at) else 0))))
+        assert math.isclose(got[i].score, want, rel_tol=1e-6) and got[i].predicted == (got[i].score >= 0.3)
