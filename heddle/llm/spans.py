@@ -1,13 +1,20 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after . ! ? before white space, and after line feeds); a sentence of more than LONG words
-is cut further after words chosen by their own hash, so it falls apart alike wherever it stands. From every sentence a
-span runs over the fewest sentences, two at least, that hold LEAST words; one more span covers the text's end. Spans
-are hashed over their words (A-Z lowered, white space ignored), the hashes of all documents are joined, and a sentence
-covered by a span whose first place (smallest doc_id, then earliest) is elsewhere is removed.
+is cut further after words chosen by their own hash, so it falls apart alike wherever it stands. A span is a run of two
+sentences at least that holds LEAST words at least, the length from which a repeat counts. Every run that repeats is the
+union of the shortest spans from its sentences onwards and from its sentences' ends backwards, so these are hashed (over
+their words in lower case, white space ignored) and joined over all documents:
+
+1. the spans onwards of all documents; every repeated run has one;
+2. of documents that share one, the spans backwards, which reach the ends of repeated runs.
+
+A sentence covered by a span whose first document (smallest id) is another one is removed, and so is one covered by a
+later occurrence within the document. A stutter (a span that comes again before its last occurrence has ended, as in a
+line repeated over and over) is one occurrence, so a document that only stutters stays as it is.
 
 Within a document a repeat is seen at once, so only a row for each document and different span is exchanged: first to
-find the smallest doc_id of spans in two documents or more, then to tell the other documents.
+find the smallest id of spans in two documents or more, then to tell the other documents.
 """
 
 from __future__ import annotations
@@ -24,9 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .work import Work, table
-from .worker import only
+from .worker import only, trimmed
 
 LEAST, LONG, MARK = 16, 16, 4
+#: Rows that a worker returns at a time.
+ROWS = 1000
 _CUT = re.compile(r"(?<=[.!?])(?=[ \t\r\n\v\f])|(?<=\n)")
 _WORD = re.compile(r"\S+")
 
@@ -68,8 +77,8 @@ def sentences(text: str) -> tuple[list[str], list[int], bytes]:
     return parts, sizes, b"".join(hashes)
 
 
-def spans(sizes: list[int], hashes: bytes, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(first, end, hash) of every span."""
+def onwards(sizes: list[int], hashes: bytes, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """(first, end, hash) of the shortest span from every sentence."""
     found, end, words, n = [], 0, 0, len(sizes)
     digest = xxhash.xxh64_intdigest
     for first in range(n - 1):
@@ -80,69 +89,100 @@ def spans(sizes: list[int], hashes: bytes, least: int = LEAST) -> list[tuple[int
             break
         found.append((first, end, digest(hashes[8 * first : 8 * end])))
         words -= sizes[first]
-    if found and found[-1][1] < n:  # the text's end
-        first, words = n, 0
-        while words < least or first > n - 2:
+    return found
+
+
+def backwards(sizes: list[int], hashes: bytes, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """(first, end, hash) of the shortest span before every sentence's end."""
+    found, words, first = [], 0, len(sizes)
+    digest = xxhash.xxh64_intdigest
+    for end in range(len(sizes), 1, -1):
+        while first and (words < least or first > end - 2):
             first -= 1
             words += sizes[first]
-        found.append((first, n, digest(hashes[8 * first :])))
+        if words < least:
+            break
+        found.append((first, end, digest(hashes[8 * first : 8 * end])))
+        words -= sizes[end - 1]
     return found
 
 
 def covered(text: str, gone: set[int]) -> tuple[list[str], np.ndarray]:
     """The text's parts, and which of them a span in `gone`, or a repeat within the text, covers."""
     parts, sizes, hashes = sentences(text)
-    out, seen = np.zeros(len(parts), bool), set()
-    for first, end, h in spans(sizes, hashes):
-        if h in gone or h in seen:
+    own = onwards(sizes, hashes)
+    if gone or len({h for _, _, h in own}) < len(own):
+        own = sorted({*own, *backwards(sizes, hashes)})
+    out, ends = np.zeros(len(parts), bool), {}
+    for first, end, h in own:
+        if h in gone or first > ends.get(h, first):
             out[first:end] = True
-        seen.add(h)
+        ends[h] = end
     return parts, out
 
 
 def dedup(docs: DataFrame, work: Work) -> DataFrame:
-    """id, text, row of docs (id long, text string, and any third column `row`) with text cut, removed (sentences) and
-    cuts (starts and ends of what was removed, in characters of the old text).
+    """id, text and any further columns of docs (id long, text string) with text cut, removed (sentences) and cuts (starts
+    and ends of what was removed, in characters of the old text). Further columns must not be called removed or cuts.
 
     Null text stays null and empty text empty. Rows with the same id count as one document. A row without id loses
-    only its own repeats. A text of one sentence, or of fewer than LEAST words, has no span and stays as it is.
+    only its own repeats. A text of one sentence, or of fewer than LEAST words, has no span and stays as it is. An empty
+    table gives an empty one.
     """
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("spans")
-        for b in batches:
-            ids, out = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                own = {h for _, _, h in spans(*sentences(text.as_py())[1:])}
-                ids.append(np.full(len(own), i, np.int64))
-                out.append(np.fromiter(own, np.uint64, len(own)))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out).view(np.int64))], ["id", "h"])
-
-    found = work.save(docs.where("id is not null and text is not null").select("id", "text").mapInArrow(hashes, "id long, h long"), "spans")
-    least, most = F.min("id"), F.max("id")
-    first = work.save(found.groupBy("h").agg(least.alias("first"), most.alias("last")).where(F.col("first") < F.col("last")).select("h", "first"), "first")
-    gone = found.join(first, "h").where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("h").alias("gone"))
+    def hashes(back: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            only("spans")
+            for b in trimmed(batches):
+                ids, out = [], []
+                for i, text in zip(b.column(0).to_pylist(), b.column(1)):
+                    _, sizes, hashes = sentences(text.as_py())
+                    own = {h for _, _, h in onwards(sizes, hashes)}
+                    if back:
+                        own = {h for _, _, h in backwards(sizes, hashes)} - own
+                    ids.append(np.full(len(own), i, np.int64))
+                    out.append(np.fromiter(own, np.uint64, len(own)))
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out).view(np.int64))], ["id", "h"])
+
+        return run
+
+    def repeats(texts: DataFrame, back: bool) -> DataFrame:
+        """id, h, first of every document's spans that another document has too."""
+        found = work.save(texts.mapInArrow(hashes(back), "id long, h long"), "spans")
+        known = found.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
+        return work.save(found.join(work.save(known.select("h", "first"), "first"), "h"), "repeats")
+
+    texts = docs.where("id is not null and text is not null").select("id", "text")
+    some = repeats(texts, False)
+    more = repeats(texts.join(some.select("id").distinct(), "id", "left_semi"), True)
     extra = [c for c in docs.columns if c not in ("id", "text")]
-    joined = docs.join(gone, "id", "left").select("id", "text", "gone", *extra)
+    mark = "gone"
+    while mark in {c.lower() for c in docs.columns}:
+        mark += "_"
+    gone = some.unionByName(more).where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("h").alias(mark))
+    joined = docs.join(gone, "id", "left").select("id", "text", mark, *extra)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, removed, cuts = [], [], []
-            for text, own in zip(b.column(1), b.column(2)):
-                text, own = text.as_py(), own.as_py()
-                if text is None:
-                    texts.append(None)
-                    removed.append(0)
-                    cuts.append([])
-                    continue
-                parts, out = covered(text, {h & 0xFFFFFFFFFFFFFFFF for h in own or ()})
-                texts.append("".join([p for p, x in zip(parts, out) if not x]) if out.any() else text)
-                removed.append(int(out.sum()))
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
-                at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-                cuts.append(at[edge].tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(cuts, pa.list_(pa.int64())), *b.columns[3:]], ["id", "text", "removed", "cuts", *extra])
+        only("spans")
+        for whole in trimmed(batches):
+            for begin in range(0, whole.num_rows, ROWS):
+                b = whole.slice(begin, ROWS)
+                texts, removed, cuts = [], [], []
+                for text, own in zip(b.column(1), b.column(2)):
+                    text, own = text.as_py(), own.as_py()
+                    if text is None:
+                        texts.append(None)
+                        removed.append(0)
+                        cuts.append([])
+                        continue
+                    parts, out = covered(text, {h & 0xFFFFFFFFFFFFFFFF for h in own or ()})
+                    texts.append("".join([p for p, x in zip(parts, out) if not x]) if out.any() else text)
+                    removed.append(int(out.sum()))
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
+                    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+                    cuts.append(at[edge].tolist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(cuts, pa.list_(pa.int64())), *b.columns[3:]], ["id", "text", "removed", "cuts", *extra])
 
     schema = T.StructType().add("id", "long").add("text", "string").add("removed", "integer").add("cuts", T.ArrayType(T.LongType()))
     for c in extra:

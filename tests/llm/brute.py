@@ -92,26 +92,23 @@ def spans(docs):
     cut = {i: sentences(t or "") for i, t in docs}
     runs = {}
     for i, (parts, sizes, hashes) in cut.items():
-        own, n = [], len(parts)
-        for a in range(n):
-            for b in range(a + 2, n + 1):
-                if sum(sizes[a:b]) >= LEAST:
-                    own.append((a, b, hashes[8 * a : 8 * b]))
-                    break
-        tails = [a for a in range(n - 1) if sum(sizes[a:]) >= LEAST]
-        if tails and own[-1][1] < n:
-            own.append((tails[-1], n, hashes[8 * tails[-1] :]))
-        runs[i] = own
+        n = len(parts)
+        enough = lambda a, b: sum(sizes[a:b]) >= LEAST
+        shortest = {(a, next((b for b in range(a + 2, n + 1) if enough(a, b)), None)) for a in range(n)}
+        shortest |= {(next((a for a in range(b - 2, -1, -1) if enough(a, b)), None), b) for b in range(n + 1)}
+        shortest = {x for x in shortest if None not in x}
+        runs[i] = sorted((a, b, hashes[8 * a : 8 * b]) for a, b in shortest)
     first = {}
     for i in sorted(runs):
-        for a, b, h in runs[i]:
-            first.setdefault(h, (i, a))
+        for _, _, h in runs[i]:
+            first.setdefault(h, i)
     kept = {}
     for i, own in runs.items():
-        gone = set()
+        gone, ends = set(), {}
         for a, b, h in own:
-            if first[h] != (i, a):
+            if first[h] != i or h in ends and a > ends[h]:
                 gone |= set(range(a, b))
+            ends[h] = b
         kept[i] = "".join(p for n, p in enumerate(cut[i][0]) if n not in gone)
     return kept
 
