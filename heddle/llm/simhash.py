@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .work import Work, table
-from .worker import only
+from .worker import only, trimmed
 
 SEED = 42
 RADIUS = 3
@@ -37,10 +37,31 @@ CHUNK = 512
 MANY = 1 << 25
 
 
+def votes(h: np.ndarray, tables: int) -> np.ndarray:
+    """How many of the hashes have each bit, by table. The first table's bits are the hash's own, another's those of an odd
+    multiple of it, mixed."""
+    counts = np.zeros((tables, 64), np.int64)
+    for t in range(tables):
+        x = h
+        if t:
+            x = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * t + 1)) & 0xFFFFFFFFFFFFFFFF)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), 8), axis=1, bitorder="little")
+        for at in range(0, len(bits), 255):  # so many fit a byte
+            counts[t] += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return counts
+
+
+def majority(counts: np.ndarray, of: int) -> np.ndarray:
+    """A fingerprint of 64 bits for each table: those set in over half of so many hashes."""
+    return np.packbits(2 * counts > of, axis=1, bitorder="little").view("<u8").ravel()
+
+
 def majorities(text: str | None, n: int = SHINGLE, seed: int = SEED, tables: int = 1) -> list[int]:
     """The fingerprints of one text as unsigned numbers; no word: 0; fewer than n words: the whole sequence is hashed.
 
-    The first table's bits are of the XXH64 of each shingle, another's of an odd multiple of it, mixed.
+    Bits are those of the XXH64 of each shingle; see votes().
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -54,15 +75,8 @@ def majorities(text: str | None, n: int = SHINGLE, seed: int = SEED, tables: int
     digest = xxhash.xxh64_intdigest
     counts = np.zeros((tables, 64), np.int64)
     for at in range(0, k, 1 << 16):
-        h = np.array([digest(flat[s:e], seed) for s, e in zip(begins[at : at + (1 << 16)].tolist(), last[at : at + (1 << 16)].tolist())], np.uint64)
-        for t in range(tables):
-            x = h
-            if t:
-                x = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * t + 1)) & 0xFFFFFFFFFFFFFFFF)
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(32)
-            counts[t] += np.unpackbits(x.view(np.uint8).reshape(len(x), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > k, axis=1, bitorder="little").view("<u8").ravel().tolist()
+        counts += votes(np.array([digest(flat[s:e], seed) for s, e in zip(begins[at : at + (1 << 16)].tolist(), last[at : at + (1 << 16)].tolist())], np.uint64), tables)
+    return majority(counts, k).tolist()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, tables: int = 1) -> DataFrame:
@@ -70,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f"fp{t}" for t in range(tables)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             only("simhash")
             fp = np.array([majorities(x.as_py(), n, SEED, tables) for x in b.column(1)], np.uint64).reshape(b.num_rows, tables)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fp[:, t]).view(np.int64)) for t in range(tables))], ["id", *names])
@@ -114,6 +128,68 @@ def within(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tupl
     return left[real], right[real]
 
 
+class Lanes:
+    """Bit-sliced counters of 64 lanes to a word. Planes are added as pairs wait at each level for a carry-save adder, so
+    a plane costs about five word operations whatever the counters' width."""
+
+    def __init__(self, words: int, levels: int):
+        self.sums = [np.zeros(words, np.uint64) for _ in range(levels)]
+        self.waiting: list[np.ndarray | None] = [None] * levels
+
+    def add(self, plane: np.ndarray, level: int = 0) -> None:
+        one = self.waiting[level]
+        if one is None:
+            self.waiting[level] = plane
+            return
+        self.waiting[level], own = None, self.sums[level]
+        either = one ^ plane
+        self.sums[level] = own ^ either
+        if level + 1 < len(self.sums):
+            self.add((one & plane) | (own & either), level + 1)
+
+    def over(self, radius: int) -> np.ndarray:
+        """The lanes whose count is above the radius."""
+        for level, one in enumerate(self.waiting):  # what still waits is added with a carry
+            while one is not None and level < len(self.sums):
+                self.sums[level], one = self.sums[level] ^ one, self.sums[level] & one
+                level += 1
+        self.waiting = [None] * len(self.sums)
+        more, same = np.zeros_like(self.sums[0]), ~np.zeros_like(self.sums[0])
+        for level in reversed(range(len(self.sums))):
+            if radius >> level & 1:
+                same = same & self.sums[level]
+            else:
+                more |= same & self.sums[level]
+                same = same & ~self.sums[level]
+        return more
+
+    def keep(self, at: np.ndarray) -> None:
+        self.sums = [x[at] for x in self.sums]
+
+
+def near_pairs(one: np.ndarray, two: np.ndarray, radius: int, every: int = 64) -> np.ndarray:
+    """Whether each row of fingerprints in `one` (rows, words of 64 bits) differs in `radius` bits at most from its row of
+    `two`. Differences are stored as bit planes, 64 pairs to a word, and a word all of whose pairs exceed the radius
+    after some planes is given up."""
+    rows, width = one.shape
+    words = -(-rows // 64)
+    bits = np.zeros((words * 64, width * 64), np.uint8)
+    bits[:rows] = np.unpackbits(np.ascontiguousarray(one ^ two).view(np.uint8).reshape(rows, -1), axis=1)
+    store = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
+    lanes, at, far = Lanes(words, int(width * 64).bit_length()), np.arange(words), ~np.zeros(words, np.uint64)
+    for j, plane in enumerate(store, 1):
+        lanes.add(plane[at])
+        if j % every == 0 or j == len(store):
+            out = lanes.over(radius)
+            left = out != ~np.uint64(0)
+            lanes.keep(left)
+            at, out = at[left], out[left]
+            if not len(at):
+                break
+    far[at] = out
+    return np.unpackbits((~far).view(np.uint8), bitorder="little")[:rows].astype(bool)
+
+
 def forest(nodes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star for each component of the links between positions: every other node with the component's smallest."""
     label = nodes.copy()
@@ -154,7 +230,7 @@ def links(work: Work, nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK
     tasks = pairs.groupBy("g", "lo", "hi").agg(F.collect_list("i").alias("side"), F.collect_list("fp").alias("fps"), F.collect_list("first").alias("firsts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             a_out, b_out = [], []
             for lo, hi, side, fps, firsts in zip(*(b.column(c) for c in (1, 2, 3, 4, 5))):
                 side, fps, firsts = (np.asarray(x.values) for x in (side, fps, firsts))

@@ -13,11 +13,7 @@ from pyspark.sql import functions as F
 
 from . import mixing, near, packing, spans, toxicity
 from .work import Work, ranked, table
-from .worker import only
-
-
-#: Fingerprint tables with which the near copies were once decided; only a test reads it.
-TABLES = 8
+from .worker import only, trimmed
 
 
 def spare(docs: DataFrame, name: str) -> str:
@@ -38,7 +34,8 @@ def numbered(work: Work, docs: DataFrame, name: str) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out the documents that the toxicity operator rejects (score 0.5 or more). Null texts stay."""
+    """Leaves out the documents that the toxicity operator rejects (score 0.5 or more). A null text is scored as an empty one,
+    and stays or goes with it. Repeated rows are scored each; without labels of both classes all of a table stay, or go."""
     work = Work(spark, "stage-toxicity")
     held = spark.sparkContext.broadcast(toxicity.fit(docs, table(spark, sf_dir, "labels"), work))
     at = docs.columns.index("text")
@@ -46,14 +43,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("toxicity")
         index = held.value
-        for b in batches:
-            yield b.filter(pa.array([index.score(x.as_py() or "")[0] < 0.5 for x in b.column(at)], pa.bool_()))
+        for b in trimmed(batches):
+            yield b.filter(pa.array([p < 0.5 for p, _ in index.scores(b.column(at).cast(pa.string()))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingle sets alike by 0.8 or more) the document with the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingle sets alike by 0.8 or more) the document with the smallest doc_id stays.
+
+    The pairs are found by the SimHash operator's bit-sliced comparison and decided by the sets; see near. Texts without
+    words (null, empty) are copies of each other. Rows that repeat an id, or have none, are documents each."""
     work = Work(spark, "stage-simhash")
     row = spare(docs, "row")
     known = numbered(work, docs, row)
@@ -63,18 +63,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the sentences of spans that an earlier document, or an earlier place, has. Rows without doc_id, or that
-    share one, are documents of their own."""
+    share one, are documents of their own, in order of (doc_id, text). Null texts stay null; an empty table stays empty."""
     work = Work(spark, "stage-spans")
     row = spare(docs, "row")
     known = numbered(work, docs, row)
-    packed = known.select(F.col(row).alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[known[c] for c in docs.columns]).alias("row"))
+    rest = [c for c in docs.columns if c != "text"]
+    packed = known.select(F.col(row).alias("id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("__"), *[known[c] for c in rest]).alias("row"))
     cut = spans.dedup(packed, work)
-    changed = {"text": F.col("text"), "n_chars": F.when(F.col("removed") > 0, F.length("text")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
-    return cut.select(*[changed.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    own = {c: F.col("row").getField(c) for c in rest} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("removed") > 0, F.length("text")).otherwise(own["n_chars"])
+    return cut.select(*[own[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources emits it."""
+    """Every document as often as the mix of sources emits it. A null text has size 0, a null source is a source; rows that
+    repeat an id are documents each; an empty table stays empty."""
     work = Work(spark, "stage-mixing")
     row, times = spare(docs, "row"), spare(docs, "times")
     known = numbered(work, docs, row)
@@ -85,7 +89,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences; see packing."""
+    """The places of all documents' pieces in sequences; see packing. A null text is an empty document: its end alone."""
     return packing.pack_documents(docs)
 
 

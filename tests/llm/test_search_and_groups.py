@@ -61,6 +61,16 @@ def test_bit_sliced_search_finds_all_pairs():
         assert set(zip(left.tolist(), right.tolist())) == want
 
 
+@pytest.mark.parametrize(("rows", "radius"), [(1, 0), (64, 80), (1000, 80), (333, 3), (200, 256)])
+def test_bit_sliced_pairs_are_those_within_the_radius(rows, radius):
+    rng = np.random.default_rng(rows)
+    one = rng.integers(0, 1 << 64, (rows, 4), np.uint64)
+    noise = np.packbits(rng.random((rows, 256)) < rng.random((rows, 1)) * 0.6, axis=1).view(np.uint64)
+    noise[::3] = 0
+    want = np.bitwise_count(noise).sum(axis=1) <= radius
+    assert (simhash.near_pairs(one, one ^ noise, radius) == want).all() and want.any()
+
+
 @pytest.mark.parametrize(("chunk", "many"), [(512, 1 << 25), (4, 1 << 25), (4, 0)])
 def test_simhash_groups_match_brute_force_for_any_chunking(spark, sf, chunk, many):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
