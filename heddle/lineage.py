@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
+from .work import shared_root
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder named in spark.checkpoint.dir (a folder of our own where none is set)
-    and read again, so that a loop's plan starts anew and survives a lost executor. Deleted when the JVM ends."""
+    """The rows of df, written to the shared folder (see work.shared_root) and read again, so that a loop's plan starts anew and survives a lost executor. Deleted when the JVM ends."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="heddle-")
-        sc.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

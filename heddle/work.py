@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named in spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Where neither is set a folder of our own is made if all workers are on this machine; on a cluster that would lose
+    rows, since executors don't see each other's folders, so it is an error there.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            root = held
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="heddle-")
-            spark.sparkContext.setCheckpointDir(root)
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="heddle-")
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -60,6 +63,11 @@ class Work:
             fs, p = self._fs(df._heddle_path)
             fs.delete(p, True)
 
+    def close(self) -> None:
+        """Deletes all tables that were saved."""
+        fs, top = self._fs(self.root)
+        fs.delete(top, True)
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
