@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .work import SPACE, partitions, table
+from .work import SPACE, Work, partitions, ranked, table
 
-SAMPLES, SHINGLE = 24, 5
+SAMPLES, SHINGLE = 48, 5
 #: Ranges of ids, at most; their bounds are collected, and looked up in two steps of FAN at most.
 RANGES, FAN = 1 << 16, 1 << 8
 _STEP = float(1 << 21)
@@ -82,25 +82,28 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     one term, the empty one. Null ids come last, and rows that repeat an id follow each other in order of text. Other
     columns aren't read; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
+    spark, work = docs.sparkSession, Work(docs.sparkSession, "fingerprint")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ids = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("doc_id is null or n > 1").isEmpty():
+        d = d.withColumn("id", F.col("doc_id"))
+    else:  # numbers in order, dealt by (doc_id, text, place), so that a frequent id or document falls in many ranges
+        d = ranked(work, d.withColumn("place", F.monotonically_increasing_id()), [], ["doc_id", "text", "place"], "id").drop("place")
+        d = work.save(d, "numbered")
     n = min(RANGES, 8 * partitions(spark))
-    row = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("cuts"), F.min("doc_id").alias("low")).first()
+    row = d.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("cuts"), F.min("id").alias("low")).first()
     low, cuts = row["low"], sorted({c for c in (row["cuts"] or []) if c != row["low"]})
     step = max(1, -(-len(cuts) // FAN))
     coarse, fine = (F.from_json(F.lit(str(x)), t) for x, t in ((cuts[::step], "array<bigint>"), ([cuts[i : i + step] for i in range(0, len(cuts), step)], "array<array<bigint>>")))
-    below = lambda held: F.size(F.filter(held, lambda c: c <= F.col("doc_id")))
-    d = d.withColumn("block", F.when(F.col("doc_id").isNotNull(), below(coarse)))
+    below = lambda held: F.size(F.filter(held, lambda c: c <= F.col("id")))
+    d = d.withColumn("block", below(coarse))
     own = F.when(F.col("block") > 0, F.element_at(fine, F.col("block")))
-    place = F.when(F.col("block").isNull(), F.lit(len(cuts))).when(F.col("block") == 0, F.lit(0)).otherwise((F.col("block") - 1) * step + below(own))
+    place = F.when(F.col("block") == 0, F.lit(0)).otherwise((F.col("block") - 1) * step + below(own))
     # the first document of a range closes the range before it, and the first of all closes the last
-    closes = F.when(F.col("doc_id") == F.lit(low), F.lit(len(cuts))).when(F.array_contains(own, F.col("doc_id")), F.col("range") - 1)
-    if low is None:  # no ids at all: every row is in one range, which the least text closes
-        first = d.agg(F.min("text").alias("t")).first()["t"]
-        closes = F.when(F.col("text") == F.lit(first), F.lit(0))
+    closes = F.when(F.col("id") == F.lit(low), F.lit(len(cuts))).when(F.array_contains(own, F.col("id")), F.col("range") - 1)
     both = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("tail")), F.struct(closes.alias("range"), F.lit(1).alias("tail")))
-    dealt = d.withColumn("range", place).select("doc_id", "text", F.explode(both).alias("to")).select("doc_id", "text", "to.range", "to.tail").where("range is not null")
-    order = Window.partitionBy("range").orderBy("tail", F.col("doc_id").asc_nulls_last(), "text")
+    dealt = d.withColumn("range", place).select("doc_id", "id", "text", F.explode(both).alias("to")).select("doc_id", "id", "text", "to.range", "to.tail").where("range is not null")
+    order = Window.partitionBy("range").orderBy("tail", "id")
     rows = dealt.repartition(n, "range").withColumn("after", F.lead("text").over(order)).withColumn("row", F.row_number().over(order))
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
