@@ -153,7 +153,7 @@ def _rest(members: DataFrame, sets: DataFrame, work: Work, chunk: int) -> DataFr
     # a bucket of one chunk meets itself; row i of a larger one goes to every pair (i, j)
     dealt = members.join(big, "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     dealt = dealt.withColumn("i", F.pmod(F.xxhash64("id", F.lit(7)), F.col("m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id", "component").join(sets, "id")
+    dealt = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id", "component").join(sets.hint("merge"), "id")
     tasks = dealt.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("id", "component", "own")).alias("all"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +182,13 @@ def kept(docs: DataFrame, id_col: str, work: Work, chunk: int = CHUNK) -> DataFr
     keys = sketches.join(nodes, "id", "left_semi").select("id", F.explode("bands").alias("key"))
     buckets = work.save(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low"), "buckets")
     members = work.save(keys.join(buckets, "key"), "members")
-    sets = work.save(_sets(texts.join(members.select("id").distinct(), "id", "left_semi")), "sets")
+    # texts and sets move at every size: the other side grows with the documents
+    sets = work.save(_sets(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi")), "sets")
     pairs = members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     print_of = lambda k, fp: sketches.select(F.col("id").alias(k), F.col("fp").alias(fp))
     pairs = work.save(_close(pairs.join(print_of("a", "x"), "a").join(print_of("b", "y"), "b")), "pairs")
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    one, two = (sets.select(F.col("id").alias(k), F.col("own").alias(own)).hint("merge") for k, own in (("a", "x"), ("b", "y")))
+    pairs = pairs.join(one, "a").join(two, "b")
     found = work.save(components(work, work.save(_verified(pairs), "stars")), "found")
     named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     named = work.save(named, "named")

@@ -151,17 +151,22 @@ def dedup(docs: DataFrame, work: Work) -> DataFrame:
         """id, h, first of every document's spans that another document has too."""
         found = work.save(texts.mapInArrow(hashes(back), "id long, h long"), "spans")
         known = found.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
-        return work.save(found.join(work.save(known.select("h", "first"), "first"), "h"), "repeats")
+        known = work.save(known.select("h", "first"), "first")
+        both = work.save(found.join(known.hint("merge"), "h"), "repeats")
+        work.drop(found, known)
+        return both
 
     texts = docs.where("id is not null and text is not null").select("id", "text")
     some = repeats(texts, False)
-    more = repeats(texts.join(some.select("id").distinct(), "id", "left_semi"), True)
+    more = repeats(texts.join(some.select("id").distinct().hint("merge"), "id", "left_semi"), True)
     extra = [c for c in docs.columns if c not in ("id", "text")]
     mark = "gone"
     while mark in {c.lower() for c in docs.columns}:
         mark += "_"
     gone = some.unionByName(more).where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("h").alias(mark))
-    joined = docs.join(gone, "id", "left").select("id", "text", mark, *extra)
+    gone = work.save(gone, "gone")
+    work.drop(some, more)
+    joined = docs.join(gone.hint("merge"), "id", "left").select("id", "text", mark, *extra)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("spans")

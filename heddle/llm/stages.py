@@ -56,9 +56,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     words (null, empty) are copies of each other. Rows that repeat an id, or have none, are documents each."""
     work = Work(spark, "stage-simhash")
     row = spare(docs, "row")
-    known = numbered(work, docs, row)
-    kept = work.save(near.kept(known, row, work).select(F.col("id").alias(row)), "kept")
-    return known.join(kept, row, "left_semi").select(*docs.columns)
+    known, own = numbered(work, docs, row), Work(spark, "near")
+    kept = work.save(near.kept(known, row, own).select(F.col("id").alias(row)), "kept")
+    own.close()
+    return known.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
