@@ -172,3 +172,42 @@ def excluded(c: Column) -> tuple[Column, Column]:
     """Key and number of dilations of 'key+dil:N'."""
     n = F.regexp_extract(c, r"\+dil:(\d+)$", 1)
     return F.regexp_replace(c, r"\+dil:\d+$", ""), F.when(n == "", F.lit(0)).otherwise(n.try_cast("int"))
+
+
+def paragraphs(text: Column | str) -> Column:
+    """The parts of a text between blank lines, without white space at their ends; empty ones are left out."""
+    parts = F.transform(F.split(text, "\n\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
+    return F.filter(parts, lambda x: x != "")
+
+
+def variant(own: Column, shared: Column, sharing: Column, default: str = "") -> Column:
+    """A field's text: in a copy to share its shared form, where there is one; else its own; else the default."""
+    text = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    return F.coalesce(F.when(sharing, text(shared)), text(own), F.lit(default))
+
+
+def banner(own: Column, shared: Column, sharing: Column, standard: str) -> Column:
+    """variant(), but a copy to share never takes over the private banner."""
+    return F.when(sharing, variant(F.lit(""), shared, sharing, standard)).otherwise(variant(own, shared, sharing))
+
+
+def wrapped(text: Column | str, width: int) -> Column:
+    """Lines of whole words, filled up to a width in characters; a longer word has a line of its own."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+
+    def add(state: Column, word: Column) -> Column:
+        longer = F.when(state.line == "", word).otherwise(F.concat(state.line, F.lit(" "), word))
+        fits = (state.line == "") | (F.length(longer) <= width)
+        return F.struct(F.when(fits, state.done).otherwise(F.concat(state.done, F.array(state.line))).alias("done"), F.when(fits, longer).otherwise(word).alias("line"))
+
+    return F.aggregate(words, start, add, lambda s: F.when(s.line == "", s.done).otherwise(F.concat(s.done, F.array(s.line))))
+
+
+def hue(red: Column, green: Column, blue: Column) -> tuple[Column, Column, Column]:
+    """Hue in degrees, saturation and value of channels from 0 to 255; a grey has hue 0."""
+    r, g, b = (c / 255.0 for c in (red, green, blue))
+    top = F.greatest(r, g, b)
+    span = top - F.least(r, g, b)
+    turn = F.when(span == 0, 0.0).when(top == r, (g - b) / span).when(top == g, 2.0 + (b - r) / span).otherwise(4.0 + (r - g) / span)
+    return F.pmod(turn * 60.0, F.lit(360.0)), F.when(top == 0, 0.0).otherwise(span / top), top

@@ -1,10 +1,12 @@
 """Small cases worked out by hand."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from heddle.functions import clinical as C
 from heddle.functions import markup as M
 from heddle.functions import text as X
@@ -152,3 +154,92 @@ def test_frames_stay_unit_and_upright(spark):
     d = spark.createDataFrame([(1, i, float(i), float(i * i) / 10, 0.0) for i in range(8)], "path long, n int, x double, y double, z double")
     rows = paths.frames(d).orderBy("n").collect()
     assert all(abs(r.nx**2 + r.ny**2 + r.nz**2 - 1) < 1e-9 for r in rows) and all(abs(r.nz) > 0.999 for r in rows)
+
+
+def balanced(html, name, wanted):
+    """Outermost elements by counting `<name` and `</name` from each wanted opening, comments blanked out."""
+    import re
+
+    html = re.sub(r"<!--.*?-->", lambda m: " " * len(m[0]), html, flags=re.S)
+    found, done = [], 0
+    for m in re.finditer(rf"<{name}\b[^>]*>", html):
+        if m.start() < done or not wanted(m[0]):
+            continue
+        depth = 0
+        for x in re.finditer(rf"<(/?){name}\b[^>]*>", html[m.start() :]):
+            depth += -1 if x[1] else 1
+            if not depth:
+                done = m.start() + x.end()
+                found.append((m.start(), done))
+                break
+    return found
+
+
+def test_outer_elements_and_cuts_of_all_pages_by_counting(spark, sf):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    ad = lambda tag: 'class="ad"' in tag
+    got = {}
+    for r in entry.queries()["outer_elements"](spark, sf).collect():
+        got.setdefault(r.page_id, []).append((r.begin, r.end))
+    for i, html in pages.items():
+        assert sorted(got.get(i, [])) == balanced(html, "div", ad), i
+    for name in ("section", "article", "main", "nav", "p"):
+        for html in list(pages.values())[:200]:
+            assert [x[:2] for x in M.outermost(html, lambda t, _, name=name: t == name)] == balanced(html, name, lambda _: True)
+    assert any(got.values())
+
+
+def test_markup_edges():
+    cut = lambda t, w: M.cut_out(t, M.outermost(t, w))
+    nav = lambda t, _: t == "nav"
+    assert cut("a<NAV x='>'>b<nav>c</nav></nav >d<nav>open", nav) == "ad<nav>open"
+    assert cut("<!-- <nav>x</nav> --><script>'<nav>'</script>y</nav>", nav) == "<!-- <nav>x</nav> --><script>'<nav>'</script>y</nav>"
+    assert cut(None, nav) is None and M.outermost("", nav) == []
+    assert M.outermost("<p a=1 B='x &amp; y' c>z</p>", lambda t, _: t == "p")[0][3] == {"a": "1", "b": "x & y", "c": None}
+    assert [x[2] for x in M.elements_of("<div><param name=a><br></div>")] == ["div", "param", "br"]
+
+
+def test_images_with_bad_data_do_not_stop_the_others(spark):
+    block = lambda data: {"type": "image", "source": {"type": "base64", "media_type": "image/png", "data": data}}
+    texts = [json.dumps({"content": [block("YWJj"), {"deep": [block("abc"), block(7), block("")]}]}), "{broken", None]
+    got = M.json_images(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t").orderBy("place").collect()
+    assert [(r.place, r.bytes) for r in got] == [(0, 3), (1, None), (2, None), (3, 0)]
+
+
+def test_paragraphs_and_wrapping(spark):
+    import textwrap
+
+    d = spark.createDataFrame([("a\nb\n\nc",), ("\n\n \n\n",), ("one two three four " * 9 + "x" * 30,)], "t string")
+    assert [r[0] for r in d.select(X.paragraphs("t")).collect()][:2] == [["a\nb", "c"], []]
+    for width in (5, 20, 31):
+        for r in d.select("t", X.wrapped("t", width).alias("w")).collect():
+            assert r.w == textwrap.wrap(" ".join(r.t.split()), width, break_long_words=False, break_on_hyphens=False)
+
+
+def test_components_of_small_volumes_are_those_of_the_edges(spark):
+    import random
+
+    random.seed(4)
+    rows = [(v, k, j, i) for v in range(30) for k in range(3) for j in range(4) for i in range(5) if random.random() < 0.5]
+    d = spark.createDataFrame(rows, "vol long, k int, j int, i int").repartition(3)
+    for plane in (False, True):
+        want = {tuple(r) for r in voxels.label(d, (3, 4, 5), plane).collect()}
+        assert {tuple(r) for r in voxels.label_small(d, (3, 4, 5), plane).collect()} == want
+    assert voxels.label_small(d.limit(0), (3, 4, 5)).collect() == []
+
+
+def test_first_seen_takes_whole_rows_and_missing_keys(spark):
+    from heddle.operators import series
+
+    d = spark.createDataFrame([(1, None, "b"), (1, 2, "a"), (None, 3, "c"), (None, 1, "d")], "k int, n int, v string")
+    assert {tuple(r) for r in series.first_seen(d, ["k"], [F.col("n")]).collect()} == {(1, None, "b"), (None, 1, "d")}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from heddle import work
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://a:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work.shared_root(session)
