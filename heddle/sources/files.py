@@ -14,7 +14,11 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Endings that a folder scan leaves out.
-SKIPPED = (".json", ".txt", ".md", ".csv", ".xml", ".html", ".htm", ".pdf", ".png", ".jpg", ".jpeg", ".exe", ".dll", ".inf", ".ini", ".zip")
+SKIPPED = (
+    ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".pdf", ".txt", ".htm", ".html", ".xml",
+    ".js", ".css", ".exe", ".dll", ".inf", ".ini", ".ico", ".json", ".md", ".csv",
+    ".zip", ".cab", ".msi", ".bat", ".cmd", ".sys", ".db", ".lnk", ".url", ".plist",
+)
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -81,14 +85,15 @@ def retried(get: Callable[[], dict], attempts: int = 3, wait: Callable[[float],
 
 class Pages(DataSource):
     """A paged service as a batch source: option `pages` names a function 'module:name' of (token) that returns a dict with
-    `rows` and `next`. Tokens chain, so there is one partition; option `most` bounds the pages. Columns: position, row (JSON)."""
+    `rows` and `next`. Tokens chain, so there is one partition; option `most` bounds the pages. Columns: position, row (JSON),
+    and truncated, false but for a last row without content that stands for pages beyond `most`; see paged()."""
 
     @classmethod
     def name(cls) -> str:
         return "heddle_pages"
 
     def schema(self) -> str:
-        return "position long, row string"
+        return "position long, row string, truncated boolean"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _PagesReader(self.options)
@@ -109,11 +114,19 @@ class _PagesReader(DataSourceReader):
         for _ in range(self.most):
             page = retried(lambda token=token: get(token))
             for row in page.get("rows", []):
-                yield position, json.dumps(row)
+                yield position, json.dumps(row), False
                 position += 1
             token = page.get("next")
             if not token:
                 return
+        yield position, None, True
+
+
+def paged(spark: SparkSession, pages: str, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The rows of a paged service (position, row), and one row that says whether there were more pages (truncated)."""
+    spark.dataSource.register(Pages)
+    d = spark.read.format("heddle_pages").option("pages", pages).option("most", most).load()
+    return d.where("not truncated").select("position", "row"), d.agg(F.coalesce(F.max("truncated"), F.lit(False)).alias("truncated"))
 
 
 def numbered_names(existing: DataFrame, new: DataFrame, order: list[str], stem: str) -> DataFrame:
@@ -122,3 +135,8 @@ def numbered_names(existing: DataFrame, new: DataFrame, order: list[str], stem:
 
     top = existing.agg(F.coalesce(F.max(F.regexp_extract("name", rf"^{stem}-(\d+)", 1).try_cast("int")), F.lit(0)).alias("__top"))
     return ranked(Work(new.sparkSession, "names"), new, [], order, "__n", nulls_last=False).join(F.broadcast(top)).withColumn("name", F.format_string(stem + "-%04d", F.col("__n") + F.col("__top"))).drop("__n", "__top")
+
+
+def save_json(df: DataFrame, path: str, replace: bool = True) -> None:
+    """Rows as JSON lines in a folder that appears whole or not at all; without `replace` an existing one is an error."""
+    df.write.mode("overwrite" if replace else "errorifexists").json(path)

@@ -55,10 +55,18 @@ def pages(token):
     return {"rows": [{"n": 10 * n + i} for i in range(3)], "next": str(n + 1)}
 
 
+def last_page(token):
+    return {"rows": [{"n": 1}]}
+
+
 def test_paged_source(spark):
     spark.dataSource.register(files.Pages)
     d = spark.read.format("heddle_pages").option("pages", f"{__name__}:pages").option("most", 2).load()
-    assert [(r.position, json.loads(r.row)["n"]) for r in d.orderBy("position").collect()] == [(0, 0), (1, 1), (2, 2), (3, 10), (4, 11), (5, 12)]
+    assert [(r.position, json.loads(r.row)["n"]) for r in d.where("not truncated").orderBy("position").collect()] == [(0, 0), (1, 1), (2, 2), (3, 10), (4, 11), (5, 12)]
+    rows, more = files.paged(spark, f"{__name__}:pages", 2)
+    assert rows.count() == 6 and more.first().truncated is True
+    rows, more = files.paged(spark, f"{__name__}:last_page", 2)
+    assert rows.count() == 1 and more.first().truncated is False
 
 
 def test_numbering_goes_on(spark):
