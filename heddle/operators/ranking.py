@@ -32,10 +32,15 @@ def phase_priority(phases: Column) -> Column:
 
 def relevance(title: Column, interventions: Column, criteria: Column, phases: Column, kinds: Column, status: Column, condition: str, terms: str) -> Column:
     """An integer score of a study's texts against the words of a condition and of further terms."""
-    hits = lambda words, text: F.size(F.array_intersect(tokens(F.lit(words)), tokens(text)))
+    wanted, further = tokens(F.lit(condition)), tokens(F.lit(terms))
     joined = F.array_join(interventions, " ")
-    score = 3 * hits(condition, title) + 2 * hits(condition, joined) + F.least(F.lit(3), hits(condition, criteria))
-    score = score + 5 * hits(terms, title) + 3 * hits(terms, joined) + 2 * hits(terms, criteria) + phase_priority(phases)
+
+    def hits(text: Column, weigh) -> Column:
+        """weigh() of the numbers of words of the condition and of the terms in a text, which is taken apart once."""
+        return F.transform(F.array(tokens(text)), lambda t: weigh(F.size(F.array_intersect(wanted, t)), F.size(F.array_intersect(further, t))))[0]
+
+    score = hits(title, lambda c, t: 3 * c + 5 * t) + hits(joined, lambda c, t: 2 * c + 3 * t)
+    score = score + hits(criteria, lambda c, t: F.least(F.lit(3), c) + 2 * t) + phase_priority(phases)
     score = score + F.when(F.arrays_overlap(F.transform(kinds, lambda k: F.upper(clean(k))), F.array(*map(F.lit, TREATMENTS))), 4).otherwise(0)
     score = score + F.when(status == "RECRUITING", 2).otherwise(0)
     supportive = any_marker(F.lower(F.concat(clean(title), F.lit(" "), joined)), SUPPORTIVE)

@@ -41,9 +41,19 @@ def mode(df: DataFrame, by: str, value: Column, position: str, out: str = "mode"
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each key in ascending order (nulls first), as a sum that combines before the exchange."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min(F.struct(F.struct(*order).alias("o"), F.struct(*rest).alias("r"))).alias("__m"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"__m.r.{c}").alias(c) for c in df.columns])
+
+
+def resolve(rows: DataFrame, by: str, key: str, number: str, index: str, selector: int) -> DataFrame:
+    """by, chosen, status of a selector in each group: the row with that number; where none has it, the row with that
+    index. More than one match is 'ambiguous' and none 'missing', both without a choice: callers that need one must fail."""
+    hit = F.col(number) == selector
+    one = rows.groupBy(by).agg(F.count_if(hit).alias("n"), F.min(F.when(hit, F.col(key))).alias("a"), F.min(F.when(F.col(index) == selector, F.col(key))).alias("b"))
+    chosen = F.when(F.col("n") == 1, F.col("a")).when(F.col("n") == 0, F.col("b"))
+    return one.select(by, chosen.alias("chosen"), F.when(F.col("n") > 1, "ambiguous").when(chosen.isNull(), "missing").otherwise("found").alias("status"))
 
 
 def weighting(text: Column, kind: Column, b: Column, te: Column, tr: Column, ti: Column) -> Column:

@@ -6,13 +6,16 @@ never by a join on distance. `shape` is (nk, nj, ni).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.lineage import cut
+
 from .graph import components as graph_components
 
 KEY = ["vol", "k", "j", "i"]
@@ -98,23 +101,42 @@ def label(mask: DataFrame, shape: tuple[int, int, int], plane: bool = False) ->
     return own.join(found, ["vol", "p"], "left").select(*KEY, F.coalesce("c", "p").alias("label"))
 
 
+def roots(place: np.ndarray, shape: tuple[int, int, int], plane: bool = False) -> np.ndarray:
+    """Of ascending places volume x size + (k, j, i place), the smallest place of each one's component: the links to the
+    next voxel of each axis are hung on their smaller ends until nothing moves."""
+    size, label = int(np.prod(shape)), np.arange(len(place))
+    links = []
+    for step, n in ((1, shape[2]), (shape[2], shape[1]), (shape[1] * shape[2], shape[0]))[: 2 if plane else 3]:
+        at = np.minimum(np.searchsorted(place, place + step), max(len(place) - 1, 0))
+        links.append(np.stack([np.arange(len(place)), at])[:, (place[at] == place + step) & (place % size // step % n < n - 1)])
+    one, two = np.concatenate(links, axis=1)
+    while len(one):
+        low = np.minimum(label[one], label[two])
+        np.minimum.at(label, label[one], low)
+        np.minimum.at(label, label[two], low)
+        while (label != (up := label[label])).any():
+            label = up
+        left = label[one] != label[two]
+        one, two = one[left], two[left]
+    return place[label]
+
+
 def label_small(mask: DataFrame, shape: tuple[int, int, int], plane: bool = False) -> DataFrame:
-    """label() where every volume is small enough for one task: minima spread over the dense grid until nothing changes."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        big = np.iinfo(np.int64).max
-        at = (pdf["k"].to_numpy(), pdf["j"].to_numpy(), pdf["i"].to_numpy())
-        lab = np.full(shape, big)
-        lab[at] = np.ravel_multi_index(at, shape)
-        on = lab < big
-        while True:
-            new = np.pad(lab, 1, constant_values=big)
-            near = [new[1 + a : 1 + a + shape[0], 1 + b : 1 + b + shape[1], 1 + c : 1 + c + shape[2]] for a, b, c in FACES if not (plane and a)]
-            new = np.where(on, np.minimum.reduce([lab, *near]), big)
-            if (new == lab).all():
-                return pdf.assign(label=lab[at])
-            lab = new
-
-    return mask.select("vol", *[F.col(c).cast("int").alias(c) for c in "kji"]).groupBy("vol").applyInPandas(run, "vol long, k int, j int, i int, label long")
+    """label() where a volume's set voxels are few enough for one row; many volumes are joined up at a time."""
+    _, nj, ni = shape
+    size, (k, j, i) = int(np.prod(shape)), (F.col(c).cast("long") for c in "kji")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+            place = np.sort(row * size + np.asarray(lists.flatten(), np.int64))
+            root, row, p = roots(place, shape, plane), place // size, place % size
+            cols = [b.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (p // (nj * ni), p // ni % nj, p % ni)), pa.array(root % size)]
+            yield pa.RecordBatch.from_arrays(cols, [*KEY, "label"])
+
+    held = mask.groupBy(F.col("vol").cast("long").alias("vol")).agg(F.collect_list(k * (nj * ni) + j * ni + i).alias("at"))
+    return held.mapInArrow(run, "vol long, k int, j int, i int, label long")
 
 
 def largest(labels: DataFrame) -> DataFrame:
@@ -141,6 +163,18 @@ def grow(mask: DataFrame, seeds: DataFrame, shape: tuple[int, int, int], erosion
     return dilate(region, shape, erosion, mask) if erosion else region
 
 
+def grow_until(seeds: DataFrame, limit: DataFrame, shape: tuple[int, int, int], most: int) -> DataFrame:
+    """The seeds grown inside `limit` until a step adds nothing, `most` steps at most. A step is written before the next;
+    a count reaches the driver."""
+    region, n = cut(seeds.select(*KEY)), -1
+    for _ in range(most):
+        region = cut(dilate(region, shape, 1, limit))
+        before, n = n, region.count()
+        if n == before:
+            break
+    return region
+
+
 def fill_slices(mask: DataFrame, shape: tuple[int, int, int], vols: DataFrame) -> DataFrame:
     """Each slice's mask with the background that doesn't touch the slice's border, joined by face neighbours in the slice."""
     nk, nj, ni = shape

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heddle.functions import markup as M
+from heddle.functions import text as X
 from heddle.operators.series import first_seen
 from heddle.session import Catalog, table
 
@@ -44,20 +45,20 @@ def tab_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add(
     "paragraphs",
-    "SELECT doc_id, CAST(n AS INTEGER) AS n, md5(p) AS digest FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents))",
+    "SELECT doc_id, CAST(n AS INTEGER) AS n, md5(p) AS digest FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS l FROM documents))",
 )
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x)), lambda x: x != "")  # noqa: E741
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(l).alias("n", "p")).select("doc_id", (F.col("n") + 1).alias("n"), F.md5("p").alias("digest"))
+    """Paragraphs are parted by a blank line."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.paragraphs("text")).alias("n", "p")).select("doc_id", (F.col("n") + 1).alias("n"), F.md5("p").alias("digest"))
 
 
 @CATALOG.add(
     "glossary_terms",
-    "SELECT item_id, CAST(p AS INTEGER) AS place, trim(a) AS term FROM (SELECT item_id, unnest(l) AS a, generate_subscripts(l, 1) AS p FROM (SELECT item_id, string_split(array_to_string(list_slice(string_split(text, ' '), 1, 4), '|'), '|') AS l FROM benchmark))",
+    "SELECT item_id, CAST(p AS INTEGER) AS place, trim(a) AS term FROM (SELECT item_id, unnest(l) AS a, generate_subscripts(l, 1) AS p FROM (SELECT item_id, string_split(array_to_string(string_split(text, ' '), '|'), '|') AS l FROM benchmark))",
 )
 def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases separated by bars: here the first four words of each item."""
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), "|").alias("aliases"))
+    """Aliases separated by bars: here the words of each item."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.split("text", " "), "|").alias("aliases"))
     return t.select("item_id", F.posexplode(F.split("aliases", r"\|")).alias("place", "term")).select("item_id", (F.col("place") + 1).alias("place"), F.trim("term").alias("term"))
 
 

@@ -1,4 +1,5 @@
-"""Queries over coordinates, polylines and meshes. A user's first twelve events are a path in (hours, value, kind)."""
+"""Queries over coordinates, polylines and meshes. Every twelve events of a user, in order, are a path in (hours, value,
+kind), named by the user and the path's number; the last may be shorter."""
 
 from __future__ import annotations
 
@@ -12,16 +13,21 @@ from heddle.session import Catalog, table
 
 CATALOG = Catalog()
 ORIGIN, SPACING, COSINES, NORMAL = [10.0, -20.0, 5.0], [2.0, 0.5, 0.5], [0.0, 1.0, 0.0, 0.0, 0.0, -1.0], [-1.0, 0.0, 0.0]
-P_SQL = "SELECT user_id AS path, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS n, epoch(ts - TIMESTAMP '2024-01-01') / 3600.0 AS x, value AS y, CAST(event_id % 7 AS DOUBLE) AS z FROM events QUALIFY n <= 12"
+E_SQL = "SELECT *, user_id * 1000000 + m // 12 AS path, CAST(m % 12 + 1 AS INTEGER) AS n, epoch(ts - TIMESTAMP '2024-01-01') / 3600.0 AS x FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS m FROM events)"
+P_SQL = f"SELECT path, n, x, value AS y, CAST(event_id % 7 AS DOUBLE) AS z FROM ({E_SQL})"
 SEG_SQL = f"""SELECT path, n, x AS ax, y AS ay, z AS az, nx AS bx, ny AS by_, nz AS bz, sum(coalesce(d, 0)) OVER (PARTITION BY path ORDER BY n ROWS UNBOUNDED PRECEDING) AS s FROM (
   SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS d FROM ({P_SQL}) WINDOW w AS (PARTITION BY path ORDER BY n)) QUALIFY nx IS NOT NULL"""
 
 
-def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.row_number().over(w).alias("n"), (micros / 1000000.0 / 3600.0).alias("x"), F.col("value").alias("y"), (F.col("event_id") % 7).cast("double").alias("z"))
-    return e.where("n <= 12")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(w) - 1).alias("m"), (micros / 1000000.0 / 3600.0).alias("x"), F.col("value").alias("y"))
+    return e.select((F.col("user_id") * 1000000 + F.floor(F.col("m") / 12)).alias("path"), (F.col("m") % 12 + 1).alias("n"), "event_id", "x", "y")
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(spark, sf_dir).select("path", "n", "x", "y", (F.col("event_id") % 7).cast("double").alias("z"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,18 +58,17 @@ def grid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", full.alias("full_index"), G.to_reduced(full, 10, 2).alias("reduced"))
 
 
-NEAR_SQL = f"""WITH s AS ({SEG_SQL}), p AS (SELECT path, event_id, epoch(ts - TIMESTAMP '2024-01-01') / 3600.0 AS px, value AS py, CAST(event_id % 5 AS DOUBLE) AS pz FROM (SELECT *, user_id AS path FROM events) WHERE event_id % 4 = 0),
+NEAR_SQL = f"""WITH s AS ({SEG_SQL}), p AS (SELECT path, event_id, x AS px, value AS py, CAST(event_id % 5 AS DOUBLE) AS pz FROM ({E_SQL})),
   j AS (SELECT *, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) + (bz - az) * (bz - az) AS l2 FROM p JOIN s USING (path)),
   t AS (SELECT *, CASE WHEN l2 > 0 THEN ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay) + (pz - az) * (bz - az)) / l2 ELSE 0 END AS raw, max(n) OVER (PARTITION BY path) AS hi FROM j),
   u AS (SELECT *, greatest(0, least(1, raw)) AS t FROM t),
   d AS (SELECT *, sqrt(pow(px - (ax + t * (bx - ax)), 2) + pow(py - (ay + t * (by_ - ay)), 2) + pow(pz - (az + t * (bz - az)), 2)) AS d FROM u)
-  SELECT event_id, d, s + t * sqrt(l2) AS s, (n = 1 AND raw < 0) OR (n = hi AND raw > 1) AS tip FROM d QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, n) = 1"""
+  SELECT path, event_id, d, s + t * sqrt(l2) AS s, (n = 1 AND raw < 0) OR (n = hi AND raw > 1) AS tip FROM d QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, n) = 1"""
 
 
 def feet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    p = table(spark, sf_dir, "events").where("event_id % 4 = 0").select(F.col("user_id").alias("path"), "event_id", (micros / 1000000.0 / 3600.0).alias("px"), F.col("value").alias("py"), (F.col("event_id") % 5).cast("double").alias("pz"))
-    return G.nearest_segment(p, segments(spark, sf_dir), ["event_id"])
+    p = placed(spark, sf_dir).select("path", "event_id", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("event_id") % 5).cast("double").alias("pz"))
+    return G.nearest_segment(p, segments(spark, sf_dir), ["path", "event_id"])
 
 
 @CATALOG.add("nearest_segment", f"SELECT event_id, round(d, 5) AS distance, round(s, 4) AS s, tip FROM ({NEAR_SQL})")
@@ -76,16 +81,16 @@ def sleeve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feet(spark, sf_dir).where("distance <= 20 and not tip").select("event_id")
 
 
-STATION_SQL = f"""SELECT CAST(floor(s / 50) AS BIGINT) AS station, count(*) AS n, 2.0 + count(*) % 3 AS r FROM ({NEAR_SQL}) WHERE d <= 20 GROUP BY 1"""
+STATION_SQL = f"""SELECT path, CAST(floor(s / 50) AS BIGINT) AS station, count(*) AS n, 2.0 + count(*) % 3 AS r FROM ({NEAR_SQL}) WHERE d <= 20 GROUP BY 1, 2"""
 
 
-@CATALOG.add("stations", f"SELECT station, n, round(n * 0.25 / 50, 6) AS area, round(sqrt(n * 0.25 / 50 / pi() + r * r), 6) AS outer_radius, round(sqrt(n * 0.25 / 50 / pi() + r * r) - r, 6) AS thickness FROM ({STATION_SQL})")
+@CATALOG.add("stations", f"SELECT path, station, n, round(n * 0.25 / 50, 6) AS area, round(sqrt(n * 0.25 / 50 / pi() + r * r), 6) AS outer_radius, round(sqrt(n * 0.25 / 50 / pi() + r * r) - r, 6) AS thickness FROM ({STATION_SQL})")
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.operators.measures import wall
 
-    n = feet(spark, sf_dir).where("distance <= 20").groupBy(F.floor(F.col("s") / 50).alias("station")).agg(F.count(F.lit(1)).alias("n"))
+    n = feet(spark, sf_dir).where("distance <= 20").groupBy("path", F.floor(F.col("s") / 50).alias("station")).agg(F.count(F.lit(1)).alias("n"))
     d = wall(n.withColumn("r", 2.0 + F.col("n") % 3), "n", "r", 0.25, 50.0)
-    return d.select("station", "n", *[F.round(c, 6).alias(c) for c in ("area", "outer_radius", "thickness")])
+    return d.select("path", "station", "n", *[F.round(c, 6).alias(c) for c in ("area", "outer_radius", "thickness")])
 
 
 @CATALOG.add(
@@ -189,12 +194,11 @@ def parallel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.add(
     "shear_angle",
     """SELECT path, round(degrees(acos(least(1.0, abs(dx * 0.6 + dy * 0.8) / greatest(sqrt(dx * dx + dy * dy + dz * dz), 1e-9)))), 4) AS angle FROM (
-       SELECT path, max(x) FILTER (n = 12) - max(x) FILTER (n = 1) AS dx, max(y) FILTER (n = 12) - max(y) FILTER (n = 1) AS dy, max(z) FILTER (n = 12) - max(z) FILTER (n = 1) AS dz FROM (""" + P_SQL + ") GROUP BY path HAVING count(*) = 12)",
+       SELECT path, arg_max(x, n) - arg_min(x, n) AS dx, arg_max(y, n) - arg_min(y, n) AS dy, arg_max(z, n) - arg_min(z, n) AS dz FROM (""" + P_SQL + ") GROUP BY path)",
 )
 def shear_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Between the way from the first to the last point and the normal (0.6, 0.8, 0)."""
-    ends = [(F.max(F.when(F.col("n") == 12, F.col(c))) - F.max(F.when(F.col("n") == 1, F.col(c)))).alias(f"d{c}") for c in "xyz"]
-    d = paths(spark, sf_dir).groupBy("path").agg(F.count(F.lit(1)).alias("c"), *ends).where("c = 12")
+    d = paths(spark, sf_dir).groupBy("path").agg(*[(F.max_by(c, "n") - F.min_by(c, "n")).alias(f"d{c}") for c in "xyz"])
     way = [F.col(f"d{c}") for c in "xyz"]
     along = F.abs(G.dot(way, [F.lit(0.6), F.lit(0.8), F.lit(0.0)])) / F.greatest(G.norm(way), F.lit(1e-9))
     return d.select("path", F.round(F.degrees(F.acos(F.least(F.lit(1.0), along))), 4).alias("angle"))

@@ -232,10 +232,10 @@ def site_status_note(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add(
     "text_helpers",
-    r"""SELECT item_id, replace(replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped,
-        CASE WHEN regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 60)), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = '' THEN 'x'
-             ELSE regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 60)), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') END AS slug FROM benchmark""",
+    r"""SELECT item_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped,
+        CASE WHEN regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = '' THEN 'x'
+             ELSE regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') END AS slug FROM benchmark""",
 )
 def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "benchmark")
-    return t.select("item_id", X.escape_html(F.substring("text", 1, 200)).alias("escaped"), X.slug(F.substring("text", 1, 60)).alias("slug"))
+    return t.select("item_id", X.escape_html("text").alias("escaped"), X.slug("text").alias("slug"))

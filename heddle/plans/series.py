@@ -185,22 +185,21 @@ def contrast_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add(
     "frame_explode",
-    "SELECT vec_id, CAST(vec_id * 100000 + i AS BIGINT) AS instance, round(embedding[i + 1]::DOUBLE, 6) AS v FROM embeddings, range(64) t(i) WHERE vec_id % 10 = 0",
+    "SELECT vec_id, CAST(vec_id * 100000 + i AS BIGINT) AS instance, round(embedding[i + 1]::DOUBLE, 6) AS v FROM embeddings, range(64) t(i)",
 )
 def frame_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    d = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
     return d.select("vec_id", (F.col("vec_id") * 100000 + F.col("i")).alias("instance"), F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
 @CATALOG.add(
     "selector_resolution",
     """WITH s AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS idx, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS num FROM orders)
-       SELECT o_custkey, min(o_orderkey) AS chosen FROM s WHERE num = 2 GROUP BY o_custkey HAVING count(*) = 1
-       UNION ALL SELECT o_custkey, o_orderkey FROM s WHERE idx = 2 AND o_custkey NOT IN (SELECT o_custkey FROM s WHERE num = 2)""",
+       SELECT o_custkey, CASE n WHEN 1 THEN by_num WHEN 0 THEN by_idx END AS chosen, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 0 AND by_idx IS NULL THEN 'missing' ELSE 'found' END AS status
+       FROM (SELECT o_custkey, count(*) FILTER (num = 2) AS n, min(o_orderkey) FILTER (num = 2) AS by_num, min(o_orderkey) FILTER (idx = 2) AS by_idx FROM s GROUP BY o_custkey)""",
 )
 def selector_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selector 2 in each customer's series: by number; where no number matches, by index; more than one match is left out."""
+    """Selector 2 in each customer's series: by number; where no number matches, by index; see resolve()."""
     w = Window.partitionBy("o_custkey")
-    s = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.row_number().over(w.orderBy("o_orderkey")).alias("idx"), (F.substring("o_orderpriority", 1, 1) == "2").alias("hit"))
-    one = s.groupBy("o_custkey").agg(F.count_if("hit").alias("n"), F.min(F.when(F.col("hit"), F.col("o_orderkey"))).alias("by_num"), F.min(F.when(F.col("idx") == 2, F.col("o_orderkey"))).alias("by_idx"))
-    return one.select("o_custkey", F.when(F.col("n") == 1, F.col("by_num")).when(F.col("n") == 0, F.col("by_idx")).alias("chosen")).where("chosen is not null")
+    s = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.row_number().over(w.orderBy("o_orderkey")).alias("idx"), F.substring("o_orderpriority", 1, 1).cast("int").alias("num"))
+    return S.resolve(s, "o_custkey", "o_orderkey", "num", "idx", 2)

@@ -55,16 +55,16 @@ def merge_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.when(k % 3 == 0, F.col("p_brand")), F.when(k % 2 == 0, F.col("p_type")), F.lit("default")).alias("v"))
 
 
-@CATALOG.add("page_union", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0")
+@CATALOG.add("page_union", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 = 0")
 def page_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey")
-    return o.where("o_orderkey % 3 = 0").unionByName(o.where("o_orderkey % 5 = 0"))
+    return o.where("o_orderkey % 3 = 0").unionByName(o.where("o_orderkey % 3 <> 0 or o_orderkey % 5 = 0"))
 
 
-@CATALOG.add("key_sets", "SELECT DISTINCT p_type AS v, 'both' AS side FROM part WHERE p_partkey <= 50 AND p_type IN (SELECT p_type FROM part WHERE p_partkey > 1900) UNION ALL SELECT DISTINCT p_type, 'first' FROM part WHERE p_partkey <= 50 AND p_type NOT IN (SELECT p_type FROM part WHERE p_partkey > 1900)")
+@CATALOG.add("key_sets", "SELECT DISTINCT p_type AS v, 'both' AS side FROM part WHERE p_size <= 2 AND p_type IN (SELECT p_type FROM part WHERE p_size > 2) UNION ALL SELECT DISTINCT p_type, 'first' FROM part WHERE p_size <= 2 AND p_type NOT IN (SELECT p_type FROM part WHERE p_size > 2)")
 def key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    a, b = p.where("p_partkey <= 50").select(F.col("p_type").alias("v")), p.where("p_partkey > 1900").select(F.col("p_type").alias("v"))
+    a, b = p.where("p_size <= 2").select(F.col("p_type").alias("v")), p.where("p_size > 2").select(F.col("p_type").alias("v"))
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("first")))
 
 

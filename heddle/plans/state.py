@@ -32,11 +32,11 @@ def watermark_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.groupBy("event_type").agg(F.max("ts").cast("timestamp_ntz").alias("last_check"), F.count(F.lit(1)).alias("n"))
 
 
-@CATALOG.add("expected_absent", "SELECT u AS user_id, t AS event_type FROM range(1, 160) x(u), (SELECT DISTINCT event_type AS t FROM events) WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = u AND event_type = t)")
+@CATALOG.add("expected_absent", "SELECT u AS user_id, t AS event_type FROM (SELECT DISTINCT user_id AS u FROM events), (SELECT DISTINCT event_type AS t FROM events) WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = u AND event_type = t)")
 def expected_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("user_id", "event_type").distinct()
     kinds = e.agg(F.array_sort(F.collect_set("event_type")).alias("k"))
-    want = spark.range(1, 160).select(F.col("id").alias("user_id")).join(F.broadcast(kinds)).select("user_id", F.explode("k").alias("event_type"))
+    want = e.select("user_id").distinct().join(F.broadcast(kinds)).select("user_id", F.explode("k").alias("event_type"))
     return want.join(e, ["user_id", "event_type"], "left_anti")
 
 
@@ -48,13 +48,13 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add(
     "conditional_upsert",
-    """WITH c AS (SELECT p_partkey AS k, p_size AS x, p_partkey % 3 + 1 AS version FROM part WHERE p_partkey <= 1000), n AS (SELECT p_partkey AS k, p_size + 100 AS x, CASE WHEN p_partkey > 1000 THEN NULL ELSE 2 END AS if_version FROM part WHERE p_partkey % 2 = 0 AND p_partkey <= 1200)
+    """WITH c AS (SELECT p_partkey AS k, p_size AS x, p_partkey % 3 + 1 AS version FROM part WHERE p_partkey % 5 <> 0), n AS (SELECT p_partkey AS k, p_size + 100 AS x, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 2 END AS if_version FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 5 = 0)
        SELECT coalesce(c.k, n.k) AS k, CASE WHEN n.k IS NOT NULL AND if_version IS NOT DISTINCT FROM version THEN n.x ELSE c.x END AS x, CASE WHEN n.k IS NOT NULL AND if_version IS NOT DISTINCT FROM version THEN coalesce(version, 0) + 1 ELSE version END AS version FROM c FULL JOIN n ON c.k = n.k""",
 )
 def conditional_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    current = p.where("p_partkey <= 1000").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("x"), (F.col("p_partkey") % 3 + 1).alias("version"))
-    new = p.where("p_partkey % 2 = 0 and p_partkey <= 1200").select(F.col("p_partkey").alias("k"), (F.col("p_size") + 100).alias("x"), F.when(F.col("p_partkey") <= 1000, F.lit(2).cast("long")).alias("if_version"), F.lit(1).alias("seq"))
+    current = p.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("x"), (F.col("p_partkey") % 3 + 1).alias("version"))
+    new = p.where("p_partkey % 2 = 0 or p_partkey % 5 = 0").select(F.col("p_partkey").alias("k"), (F.col("p_size") + 100).alias("x"), F.when(F.col("p_partkey") % 5 != 0, F.lit(2).cast("long")).alias("if_version"), F.lit(1).alias("seq"))
     return S.upsert(current, new, "k", "version")
 
 

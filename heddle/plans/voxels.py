@@ -163,8 +163,8 @@ def block_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.reduce_blocks(grid(spark, sf_dir), (2, 2, 2), SHAPE).withColumns({c: F.round(c, 6) for c in ("mean", "most")})
 
 
-@CATALOG.add("nearest_upsample", f"SELECT vol, CAST(k * 2 + a AS INTEGER) AS k, CAST(j * 2 + b AS INTEGER) AS j, i, round(v, 6) AS v FROM ({G_SQL}), range(2) x(a), range(2) y(b) WHERE vol % 20 = 0")
+@CATALOG.add("nearest_upsample", f"SELECT vol, CAST(k * 2 + a AS INTEGER) AS k, CAST(j * 2 + b AS INTEGER) AS j, i, round(v, 6) AS v FROM ({G_SQL}), range(2) x(a), range(2) y(b)")
 def nearest_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1))
-    g = grid(spark, sf_dir).where("vol % 20 = 0")
+    g = grid(spark, sf_dir)
     return g.withColumn("k", two("k")).withColumn("j", two("j")).select(*V.KEY, F.round("v", 6).alias("v"))
