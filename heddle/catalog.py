@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import clinical, documents, extras, geometry, measures, rules, search, sequences, series, sources, state, voxels
+from .plans import clinical, details, documents, extras, geometry, measures, rules, search, sequences, series, sources, state, voxels
 
-MODULES = (search, series, measures, sequences, voxels, geometry, rules, clinical, documents, state, sources, extras)
+MODULES = (search, series, measures, sequences, voxels, geometry, rules, clinical, documents, state, sources, details, extras)
 
 
 def queries() -> dict:

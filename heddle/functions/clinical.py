@@ -80,3 +80,42 @@ def flag(value: Column, reference: Column) -> Column:
     over = F.when(reference.rlike(r"^\s*<"), value >= high).otherwise(value > high)
     under = F.when(reference.rlike(r"^\s*>"), value <= low).otherwise(value < low)
     return F.when(value.isNull(), F.lit(None)).when(F.coalesce(over, F.lit(False)), "high").when(F.coalesce(under, F.lit(False)), "low").otherwise("normal")
+
+
+# Tone of a report by age bracket, and the form of address.
+TONES = [(0, "with a parent", "first name"), (12, "direct", "first name, tú"), (18, "peer-like", "first name, tú"), (40, "practical", "tú or usted"), (65, "respectful", "usted"), (75, "warm", "usted, Don/Doña")]
+# Goals of HbA1c under treatment from an age on.
+A1C_GOALS = [(18, "<7"), (65, "<7-7.5"), (75, "<7.5-8")]
+
+
+def a1c_goal(age: Column, frail: Column) -> Column:
+    """The goal of HbA1c for a patient with diabetes; frail elderly (65 on) have their own; children none."""
+    out = F.when(frail & (age >= 65), "<8.5")
+    for low, goal in reversed(A1C_GOALS):
+        out = out.when(age >= low, goal)
+    return out
+
+
+def hdl(c: Column, sex: Column) -> Column:
+    """Low under 40 (men) or 50 (women), borderline under 60, else high. The source's rows overlap: its borderline row is
+    read as the lower part of its optimal one."""
+    low = F.when(sex == "M", 40).when(sex == "F", 50)
+    return F.when(c < low, "low").when((c >= low) & (c < 60), "borderline").when(c >= F.greatest(low, F.lit(60)), "high")
+
+
+def uric_acid(c: Column, sex: Column) -> Column:
+    low, high = F.when(sex == "M", 3.4).when(sex == "F", 2.4), F.when(sex == "M", 7.0).when(sex == "F", 6.0)
+    return F.when(c < low, "low").when(c > high, "high").when(c.between(low, high), "normal")
+
+
+def tone(age: Column) -> tuple[Column, Column]:
+    """Tone and form of address of a report to a patient."""
+    return tuple(bucket(age, [(r[0], r[i]) for r in TONES]) for i in (1, 2))
+
+
+def egfr(creatinine: Column, age: Column, sex: Column) -> Column:
+    """CKD-EPI 2021, ml/min/1.73 m2; approximate."""
+    woman = sex == "F"
+    ratio = creatinine / F.when(woman, 0.7).otherwise(0.9)
+    small = F.pow(F.least(ratio, F.lit(1.0)), F.when(woman, -0.241).otherwise(-0.302))
+    return 142 * small * F.pow(F.greatest(ratio, F.lit(1.0)), F.lit(-1.2)) * F.pow(F.lit(0.9938), age) * F.when(woman, 1.012).otherwise(1.0)
