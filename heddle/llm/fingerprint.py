@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .work import SPACE, Work, partitions, ranked, table
 
-SAMPLES, SHINGLE = 48, 5
+SAMPLES, SHINGLE = 32, 5
 #: Ranges of ids, at most; their bounds are collected, and looked up in two steps of FAN at most.
 RANGES, FAN = 1 << 16, 1 << 8
 _STEP = float(1 << 21)
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     closes = F.when(F.col("id") == F.lit(low), F.lit(len(cuts))).when(F.array_contains(own, F.col("id")), F.col("range") - 1)
     both = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("tail")), F.struct(closes.alias("range"), F.lit(1).alias("tail")))
     dealt = d.withColumn("range", place).select("doc_id", "id", "text", F.explode(both).alias("to")).select("doc_id", "id", "text", "to.range", "to.tail").where("range is not null")
-    order = Window.partitionBy("range").orderBy("tail", "id")
+    order = Window.partitionBy("range").orderBy("tail", "id", "doc_id")  # doc_id only so that both uses below share one exchange
     rows = dealt.repartition(n, "range").withColumn("after", F.lead("text").over(order)).withColumn("row", F.row_number().over(order))
     size = F.length("text")
     half = F.floor(size / 2).cast("int")

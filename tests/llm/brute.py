@@ -55,7 +55,7 @@ def topk(rows, k=10):
     return sorted(out)
 
 
-def fingerprint(text, samples=48):
+def fingerprint(text, samples=32):
     words = text.strip(" \t\n\x0b\x0c\r")
     import re
 

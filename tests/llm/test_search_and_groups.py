@@ -122,7 +122,7 @@ def test_fingerprints_match_brute_force(spark):
         edited = t[: len(t) - half] + after[:half]
         r = got[i]
         f, e, n = brute.fingerprint(t), brute.fingerprint(edited), brute.fingerprint(after)
-        share = lambda x, y: sum(x[8 * k : 8 * k + 8] == y[8 * k : 8 * k + 8] for k in range(48)) / 48
+        share = lambda x, y: sum(x[8 * k : 8 * k + 8] == y[8 * k : 8 * k + 8] for k in range(32)) / 32
         assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), f, e)
         assert r.near_edited == share(f, e) and r.near_next == share(f, n)
     assert got[1].fingerprint == got[11].fingerprint
@@ -144,7 +144,7 @@ def test_fingerprints_of_one_id_on_every_row_fall_in_many_ranges(spark):
     want = Counter()
     for (none, t), (_, after) in zip(order, order[1:] + order[:1]):
         f, n = brute.fingerprint(t), brute.fingerprint(after)
-        want[none, f, sum(f[8 * k : 8 * k + 8] == n[8 * k : 8 * k + 8] for k in range(48)) / 48] += 1
+        want[none, f, sum(f[8 * k : 8 * k + 8] == n[8 * k : 8 * k + 8] for k in range(32)) / 32] += 1
     assert Counter((r.doc_id is None, r.fingerprint, r.near_next) for r in got) == want
 
 
@@ -158,4 +158,4 @@ def test_fingerprint_likeness_estimates_jaccard(spark, sf):
         bag = lambda t: Counter(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4)))
         a, b = bag(r.text), bag(r.text[: len(r.text) - half] + s.text[:half])
         off.append(got[r.doc_id].near_edited - sum((a & b).values()) / sum((a | b).values()))
-    assert abs(np.mean(off)) < 0.03 and np.std(off) < 0.1
+    assert abs(np.mean(off)) < 0.03 and np.std(off) < 0.11
