@@ -33,7 +33,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -54,9 +53,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the words (A-Z lowered) of texts, the number of words of each, and the hashes of the different words."""
-    codes, sizes, words = encoded(pc.ascii_lower(texts.cast(pa.large_string())))
-    return codes, sizes, np.array([hash_of(w) for w in words.cast(pa.large_binary()).to_pylist()], np.uint64)
+    """Codes of the words of texts, the number of words of each, and the hashes of the different words with A-Z lowered;
+    words that differ in case alone have codes of their own, and hashes alike."""
+    codes, sizes, words = encoded(texts)
+    return codes, sizes, np.array([hash_of(w.lower()) for w in words.cast(pa.large_binary()).to_pylist()], np.uint64)
 
 
 def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +198,8 @@ def count_words(texts: DataFrame, root: str, bits: int) -> list[tuple[int, int,
         for b in trimmed(batches):
             for begin, end in portions(b.column(0)):
                 codes, _, h = words_of(b.column(0)[begin:end])
-                held.append((np.append(h, np.uint64(hash_of(END))), np.append(np.bincount(codes, minlength=len(h)), end - begin)))
+                n = np.bincount(codes, minlength=len(h))
+                held.append((np.append(h[n > 0], np.uint64(hash_of(END))), np.append(n[n > 0], end - begin)))
                 size += len(h)
                 if size > WORDS:
                     yield flush(held)

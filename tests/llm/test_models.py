@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from heddle.llm import labelled, ngram, quality, toxicity
+from heddle.llm import labelled, ngram, packing, quality, token_counts, toxicity, words
 from heddle.llm.work import Work
 
 from . import brute
@@ -60,7 +60,7 @@ def test_ngram_with_no_training_and_odd_texts(spark):
     got = ngram.score(d, empty).collect()
     assert {(r.n_tokens, r.n_known, r.base_score, r.score) for r in got} == {(1, 0, 0.0, 0.0), (4, 0, 0.0, 0.0), (2, 0, 0.0, 0.0), (4001, 0, 0.0, 0.0)}
     model = ngram.fit(d.select("text"), Work(spark, "test"))
-    assert model.tokens == 1 + 1 + 4 + 4 + 2 + 4001
+    assert (model.tokens, model.size) == (1 + 1 + 4 + 4 + 2 + 4001, 5)
     assert all(r.score < 0 and math.isfinite(r.score) for r in ngram.score(d, model).collect())
     assert ngram.score(d.limit(0), model).collect() == []
 
@@ -211,3 +211,19 @@ def test_quality_query_is_training_and_scoring_of_whole_texts(spark, sf):
         at, k = quality.features(t)
         want = 1 / (1 + math.exp(-(offset + (odds[at] @ k / k.sum() if len(at) else 0))))
         assert math.isclose(got[i].score, want, rel_tol=1e-6) and got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_portions_of_a_batch_are_read_as_texts_of_their_own():
+    texts = ["", None, "One two ONE", "  ", "ü Three\tfour two.", "x" * 50, "five"] * 40
+    whole = pa.array(texts)
+    own = [pa.array(texts[i:j]) for i, j in words.portions(whole, 60)]
+    cut = [whole[i:j] for i, j in words.portions(whole, 60)]
+    assert len(cut) > 20 and sum(map(len, cut)) == len(texts)
+    ids, counts = packing.WordIds(packing.tokenizer_path()), token_counts.Counter([("▁", -1.0), ("o", -2.0), ("two", -3.0)])
+    for a, b in zip(own, cut):
+        plain = [brute.word_list(t) for t in a.to_pylist()]
+        codes, sizes, h = ngram.words_of(b)
+        assert sizes.tolist() == list(map(len, plain)) and h[codes].tolist() == [ngram.hash_of(w) for t in plain for w in t]
+        assert all(x.tolist() == y.tolist() for x, y in zip(toxicity.counted(a)[:3], toxicity.counted(b)[:3]))
+        assert list(ids(a)) == list(ids(b)) == [np.array(ids.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in a.to_pylist()]
+        assert np.concatenate([*counts.counts(b)]).tolist() == [counts(t or "") for t in a.to_pylist()]
