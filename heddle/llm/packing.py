@@ -30,6 +30,8 @@ CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 
+#: Bytes of words' ids that a worker keeps; most of the work is words that it doesn't.
+KEPT = 100 << 20
 #: Words that the tokenizer gets at a time; what it returns is some hundred times as large.
 AT_ONCE = 1000
 
@@ -53,7 +55,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), Memo()
+        self.tokenizer, self.kept = Tokenizer.from_file(path), Memo(KEPT)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         if self._new([self.PROBE])[0] != b"".join(self._new(self.PROBE.split())):
             raise ValueError(f"{path} joins text across white space")
@@ -72,10 +74,12 @@ class WordIds:
                 odd |= np.asarray(pc.match_substring(own, s))
             codes, sizes, words = encoded(own)
             words = words.to_pylist()
-            missing = [w for w in words if w not in kept]
-            new = dict(zip(missing, self._new(missing)))
+            held = list(map(kept.get, words))
+            missing = [i for i, x in enumerate(held) if x is None]
+            new = {}
+            for i, x in zip(missing, self._new([words[i] for i in missing])):
+                held[i] = new[words[i]] = x
             kept.learn(new)
-            held = [kept[w] if w in kept else new[w] for w in words]
             size = np.fromiter(map(len, held), np.int64, len(held)) // 4
             flat = spread(np.frombuffer(b"".join(held), "<u4"), (np.cumsum(size) - size)[codes], size[codes])
             at = np.append(0, np.cumsum(size[codes]))[np.append(0, np.cumsum(sizes))]
