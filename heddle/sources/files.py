@@ -140,3 +140,16 @@ def numbered_names(existing: DataFrame, new: DataFrame, order: list[str], stem:
 def save_json(df: DataFrame, path: str, replace: bool = True) -> None:
     """Rows as JSON lines in a folder that appears whole or not at all; without `replace` an existing one is an error."""
     df.write.mode("overwrite" if replace else "errorifexists").json(path)
+
+
+def save_masks(masks: DataFrame, path: str) -> None:
+    """Voxels of masks (structure, and their places), a folder for each structure. Rows are dealt by structure and a part of
+    their hash, so a large structure is written by several tasks and a small one in few files."""
+    parts = F.pmod(F.xxhash64(*[c for c in masks.columns if c != "structure"]), F.lit(8))
+    masks.repartition("structure", parts).write.partitionBy("structure").mode("overwrite").parquet(path)
+
+
+def masks(spark: SparkSession, path: str, structures: list[str] | None = None) -> DataFrame:
+    """The masks of an archive; of named structures only their folders are read."""
+    d = spark.read.option("recursiveFileLookup", False).parquet(path).withColumn("structure", F.col("structure").cast("string"))
+    return d if structures is None else d.where(F.col("structure").isin(structures))

@@ -111,3 +111,12 @@ def test_stream_content_dedup(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("dedup").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.c for r in spark.sql("select c from dedup").collect()) == ["a", "b"]
+
+
+def test_masks_are_kept_by_structure(spark, tmp_path):
+    rows = [("lung", 0, 0, k) for k in range(40)] + [("7", 1, 2, 3)]
+    files.save_masks(spark.createDataFrame(rows, "structure string, k int, j int, i int"), f"{tmp_path}/m")
+    assert sorted(files.masks(spark, f"{tmp_path}/m").select("structure", "k", "j", "i").collect()) == sorted(rows)
+    one = files.masks(spark, f"{tmp_path}/m", ["7"])
+    assert [tuple(r) for r in one.select("structure", "k", "j", "i").collect()] == [("7", 1, 2, 3)]
+    assert len({r[0].split("/")[-2] for r in one.select("_metadata.file_path").collect()}) == 1
