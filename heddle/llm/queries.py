@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .codes import OP11_SQL, op11_codes
 from .fingerprint import op2_fingerprint
 from .language import op13_language
@@ -29,11 +30,12 @@ def queries() -> dict:
         "op9_quality": op9_quality,
         "op10_token_counts": op10_token_counts,
         "op11_codes": op11_codes,
+        "op12_alignment": op12_alignment,
         "op13_language": op13_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Gamma samples (2), majority hashes (3), packing (5), models (6, 7, 9, 13), span hashes (8) and tokens (10) have no SQL form; tests hold them
+    """Gamma samples (2), majority hashes (3), packing (5), models (6, 7, 9, 13), span hashes (8) and tokens (10, 12) have no SQL form; tests hold them
     against brute force or held-out labels."""
     return {"op1_topk": OP1_SQL, "op4_mixing": OP4_SQL, "op11_codes": OP11_SQL}
