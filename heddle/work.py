@@ -73,20 +73,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spare(name: str, columns: list[str]) -> str:
+    """The name, with '_' added while one of the columns has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ranked(work: Work, df: DataFrame, by: list[str], order: list[str], out: str, nulls_last: bool = True) -> DataFrame:
-    """df with column out: the row's rank from 1 within the group by, in the given order, nulls last or first.
+    """df with column out: the row's rank from 1 within the group by, in the given order, nulls last or first, and equal rows
+    in the order they are read in.
 
-    No group meets in one task: rows are dealt by range over (by, order), each range is ranked by itself, and the
-    counts of the ranges before it (a row for each range and group) are added.
+    No group meets in one task: rows are dealt by range over (by, order, place), each range is ranked by itself, and the
+    counts of the ranges before it (a row for each range and group) are added. The place makes all rows different, so that
+    many equal ones fall in many ranges. Columns of any name are kept.
     """
-    pid = "__pid"
+    place, pid, rn, n, before, p = (spare(x, [*df.columns, out]) for x in ("place", "range", "row", "n", "before", "p"))
+    keys = [spare(f"by{i}", df.columns) for i in range(len(by))]
     up = lambda c: F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first()
-    keys = [up(c) for c in by + order]
-    dealt = work.save(df.repartitionByRange(partitions(work.spark), *keys).withColumn(pid, F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy(*by, pid).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*by).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col(pid).alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = Window.partitionBy(*by, pid).orderBy(*[up(c) for c in order])
-    rows = dealt.withColumn("__rn", F.row_number().over(local))
-    on = [rows[pid] == counts["__p"]] + [rows[c].eqNullSafe(counts[f"__by{i}"]) for i, c in enumerate(by)]
-    return rows.join(counts, on, "left").select(*df.columns, (F.col("__rn") + F.coalesce(F.col("__before"), F.lit(0))).cast("long").alias(out))
+    placed = df.withColumn(place, F.monotonically_increasing_id())
+    dealt = work.save(placed.repartitionByRange(partitions(work.spark), *[up(c) for c in by + order], place).withColumn(pid, F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*by, pid).agg(F.count(F.lit(1)).alias(n))
+    earlier = Window.partitionBy(*by).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(c).alias(k) for k, c in zip(keys, by)], F.col(pid).alias(p), F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    local = Window.partitionBy(*by, pid).orderBy(*[up(c) for c in order], place)
+    rows = dealt.withColumn(rn, F.row_number().over(local))
+    on = [rows[pid] == counts[p]] + [rows[c].eqNullSafe(counts[k]) for c, k in zip(by, keys)]
+    return rows.join(counts, on, "left").select(*[rows[c] for c in df.columns if c.lower() != out.lower()], (F.col(rn) + F.coalesce(F.col(before), F.lit(0))).cast("long").alias(out))
