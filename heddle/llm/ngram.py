@@ -266,14 +266,14 @@ def count_pairs(texts: DataFrame, root: str, bits: int, starts: list[int], size:
         by_w = _summed(word, np.ones(len(word), np.int64))
         for r, at in _split(by_w[0] // width, ranges):
             out.append((r, 1, len(at), _squeeze(by_w[0][at].astype(np.uint32), by_w[1][at].astype(np.uint32))))
-        out.append((0, 2, 4, _squeeze(np.array([int((n == k).sum()) for k in (1, 2, 3, 4)], np.int64))))
+        out.append((0, 2, 5, _squeeze(np.array([*(int((n == k).sum()) for k in (1, 2, 3, 4)), b], np.int64))))
         return pd.DataFrame(out, columns=["bucket", "kind", "n", "data"])
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
         r = int(rows["bucket"].iloc[0])
         n = min(width, size + 1 - r * width)
         tokens, seen, contexts = np.zeros(n, np.int64), np.zeros((3, n), np.uint32), np.zeros(n, np.uint32)
-        twice = np.zeros(4, np.int64)
+        twice, buckets = np.zeros(4, np.int64), []
         for kind, m, d in zip(rows["kind"], rows["n"], rows["data"]):
             if kind == 0:
                 i, c, *s = _loosen(d, m, "<u4", "<i8", "<u4", "<u4", "<u4")
@@ -285,19 +285,21 @@ def count_pairs(texts: DataFrame, root: str, bits: int, starts: list[int], size:
                 i, c = _loosen(d, m, "<u4", "<u4")
                 contexts[i.astype(np.int64) - r * width] += c
             else:
-                twice += _loosen(d, m, "<i8")[0]
+                (*own, b) = _loosen(d, m, "<i8")[0].tolist()
+                twice += own
+                buckets.append(b)
         _write(f"{root}/tokens-{r}", tokens)
         _write(f"{root}/seen-{r}", seen)
         _write(f"{root}/contexts-{r}", contexts)
         own = [int((contexts == k).sum()) for k in (1, 2, 3, 4)]
         more = int((contexts > 2).sum())
-        return pd.DataFrame({"pairs": [twice.tolist()], "words": [own], "more": [more], "types": [int(contexts.sum(dtype=np.int64))]})
+        return pd.DataFrame({"pairs": [twice.tolist()], "words": [own], "more": [more], "types": [int(contexts.sum(dtype=np.int64))], "buckets": [buckets]})
 
     partial = texts.mapInArrow(count, "bucket int, n long, data binary")
     merged = partial.groupBy("bucket").applyInPandas(merge, "bucket int, kind int, n long, data binary")
-    rows = merged.groupBy("bucket").applyInPandas(gather, "pairs array<long>, words array<long>, more long, types long").collect()
+    rows = merged.groupBy("bucket").applyInPandas(gather, "pairs array<long>, words array<long>, more long, types long, buckets array<long>").collect()
     total = lambda c: [sum(r[c][k] for r in rows) for k in range(4)]
-    return {"pairs": total("pairs"), "words": total("words"), "more": sum(r["more"] for r in rows), "types": sum(r["types"] for r in rows)}
+    return {"pairs": total("pairs"), "words": total("words"), "more": sum(r["more"] for r in rows), "types": sum(r["types"] for r in rows), "buckets": {b for r in rows for b in r["buckets"]}}
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -319,7 +321,7 @@ class Model:
         self.root, self.bits, self.starts, self.size, self.tokens, self.ranges = root, bits, starts, size, tokens, ranges
         self.width = -(-(size + 1) // ranges)
         self.pair, self.word = discounts(seen["pairs"]), discounts(seen["words"])
-        self.types = seen["types"]
+        self.types, self.buckets = seen["types"], seen["buckets"]  # buckets that have pairs
         self.rest = (self.word[1] * seen["words"][0] + self.word[2] * seen["words"][1] + self.word[3] * seen["more"]) / self.types if self.types else 1.0
 
     def _array(self, name: str) -> np.ndarray:
@@ -341,10 +343,9 @@ class Model:
     def _times(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys))
         for b, at in _split(key_bucket(keys, self.bits), 1 << self.bits):
-            try:
-                held = self._array(f"pair-{b}")
-            except FileNotFoundError:  # a bucket without pairs
+            if b not in self.buckets:
                 continue
+            held = self._array(f"pair-{b}")  # a lost file is an error
             place = np.minimum(np.searchsorted(held, keys[at]), len(held) - 1)
             hit = held[place] == keys[at]
             out[at[hit]] = self._array(f"times-{b}")[place[hit]]
@@ -396,6 +397,8 @@ def fit(texts: DataFrame, work: Work) -> Model:
     held = dict((b, (w, t)) for b, w, t in count_words(texts, root, bits))
     starts = np.concatenate([[0], np.cumsum([held.get(b, (0, 0))[0] for b in range(1 << bits)])]).astype(int).tolist()
     size, tokens = starts[-1], sum(t for _, t in held.values())
+    if size + 1 >= 1 << 32:
+        raise ValueError(f"{size} different words: ids of 32 bits hold fewer")
     ranges = min(1 << bits, size + 1)
     ranges = -(-(size + 1) // -(-(size + 1) // ranges))
     seen = count_pairs(texts, root, bits, starts, size, ranges)

@@ -10,8 +10,8 @@ their words in lower case, white space ignored) and joined over all documents:
 2. of documents that share one, the spans backwards, which reach the ends of repeated runs.
 
 A sentence covered by a span whose first document (smallest id) is another one is removed, and so is one covered by a
-later occurrence within the document. A stutter (a span that comes again before its last occurrence has ended, as in a
-line repeated over and over) is one occurrence, so a document that only stutters stays as it is.
+later occurrence within the document that doesn't overlap the first one: of a line repeated over and over, the span that it
+begins with stays.
 
 Within a document a repeat is seen at once, so only a row for each document and different span is exchanged: first to
 find the smallest id of spans in two documents or more, then to tell the other documents.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import Work, table
+from .work import spare, table, Work
 from .worker import only, trimmed
 
 LEAST, LONG, MARK = 16, 16, 4
@@ -107,23 +107,23 @@ def backwards(sizes: list[int], hashes: bytes, least: int = LEAST) -> list[tuple
     return found
 
 
-def covered(text: str, gone: set[int]) -> tuple[list[str], np.ndarray]:
+def covered(text: str, gone: set[int], least: int = LEAST) -> tuple[list[str], np.ndarray]:
     """The text's parts, and which of them a span in `gone`, or a repeat within the text, covers."""
     parts, sizes, hashes = sentences(text)
-    own = onwards(sizes, hashes)
+    own = onwards(sizes, hashes, least)
     if gone or len({h for _, _, h in own}) < len(own):
-        own = sorted({*own, *backwards(sizes, hashes)})
-    out, ends = np.zeros(len(parts), bool), {}
+        own = sorted({*own, *backwards(sizes, hashes, least)})
+    out, kept = np.zeros(len(parts), bool), {}
     for first, end, h in own:
-        if h in gone or first > ends.get(h, first):
+        if h in gone or first >= kept.setdefault(h, end):
             out[first:end] = True
-        ends[h] = end
     return parts, out
 
 
-def dedup(docs: DataFrame, work: Work) -> DataFrame:
+def dedup(docs: DataFrame, work: Work, least: int = LEAST) -> DataFrame:
     """id, text and any further columns of docs (id long, text string) with text cut, removed (sentences) and cuts (starts
-    and ends of what was removed, in characters of the old text). Further columns must not be called removed or cuts.
+    and ends of what was removed, in characters of the old text); these two names get '_' added while a further column has
+    them. Spans hold `least` words or more: with 1 every repeated run of two sentences goes.
 
     Null text stays null and empty text empty. Rows with the same id count as one document. A row without id loses
     only its own repeats. A text of one sentence, or of fewer than LEAST words, has no span and stays as it is. An empty
@@ -137,9 +137,9 @@ def dedup(docs: DataFrame, work: Work) -> DataFrame:
                 ids, out = [], []
                 for i, text in zip(b.column(0).to_pylist(), b.column(1)):
                     _, sizes, hashes = sentences(text.as_py())
-                    own = {h for _, _, h in onwards(sizes, hashes)}
+                    own = {h for _, _, h in onwards(sizes, hashes, least)}
                     if back:
-                        own = {h for _, _, h in backwards(sizes, hashes)} - own
+                        own = {h for _, _, h in backwards(sizes, hashes, least)} - own
                     ids.append(np.full(len(own), i, np.int64))
                     out.append(np.fromiter(own, np.uint64, len(own)))
                 if ids:
@@ -160,9 +160,7 @@ def dedup(docs: DataFrame, work: Work) -> DataFrame:
     some = repeats(texts, False)
     more = repeats(texts.join(some.select("id").distinct().hint("merge"), "id", "left_semi"), True)
     extra = [c for c in docs.columns if c not in ("id", "text")]
-    mark = "gone"
-    while mark in {c.lower() for c in docs.columns}:
-        mark += "_"
+    mark, removed_, cuts_ = (spare(x, docs.columns) for x in ("gone", "removed", "cuts"))
     gone = some.unionByName(more).where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("h").alias(mark))
     gone = work.save(gone, "gone")
     work.drop(some, more)
@@ -181,15 +179,15 @@ def dedup(docs: DataFrame, work: Work) -> DataFrame:
                         removed.append(0)
                         cuts.append([])
                         continue
-                    parts, out = covered(text, {h & 0xFFFFFFFFFFFFFFFF for h in own or ()})
+                    parts, out = covered(text, {h & 0xFFFFFFFFFFFFFFFF for h in own or ()}, least)
                     texts.append("".join([p for p, x in zip(parts, out) if not x]) if out.any() else text)
                     removed.append(int(out.sum()))
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
                     at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
                     cuts.append(at[edge].tolist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(cuts, pa.list_(pa.int64())), *b.columns[3:]], ["id", "text", "removed", "cuts", *extra])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(cuts, pa.list_(pa.int64())), *b.columns[3:]], ["id", "text", removed_, cuts_, *extra])
 
-    schema = T.StructType().add("id", "long").add("text", "string").add("removed", "integer").add("cuts", T.ArrayType(T.LongType()))
+    schema = T.StructType().add("id", "long").add("text", "string").add(removed_, "integer").add(cuts_, T.ArrayType(T.LongType()))
     for c in extra:
         schema.add(docs.schema[c])
     return joined.mapInArrow(cut, schema)

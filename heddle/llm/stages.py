@@ -12,20 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, near, packing, spans, toxicity
-from .work import Work, ranked, table
+from .work import Work, ranked, spare, table
 from .worker import only, trimmed
 
 
-def spare(docs: DataFrame, name: str) -> str:
-    """A column name that docs doesn't have."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    return name
-
-
 def numbered(work: Work, docs: DataFrame, name: str) -> DataFrame:
     """docs with column `name`, different in every row and in order of doc_id: doc_id itself if it is known and different
-    everywhere, else the rank by (doc_id, text), null ids last."""
+    everywhere, else the rank by (doc_id, text), null ids last, equal rows in the order they are read in."""
     ids = docs.select(F.col("doc_id").cast("long").alias("i"))
     same = ids.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where("i is null or n > 1")
     if same.isEmpty():
@@ -55,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     The pairs are found by the SimHash operator's bit-sliced comparison and decided by the sets; see near. Texts without
     words (null, empty) are copies of each other. Rows that repeat an id, or have none, are documents each."""
     work = Work(spark, "stage-simhash")
-    row = spare(docs, "row")
+    row = spare("row", docs.columns)
     known, own = numbered(work, docs, row), Work(spark, "near")
     kept = work.save(near.kept(known, row, own).select(F.col("id").alias(row)), "kept")
     own.close()
@@ -66,10 +59,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the sentences of spans that an earlier document, or an earlier place, has. Rows without doc_id, or that
     share one, are documents of their own, in order of (doc_id, text). Null texts stay null; an empty table stays empty."""
     work = Work(spark, "stage-spans")
-    row = spare(docs, "row")
+    row = spare("row", docs.columns)
     known = numbered(work, docs, row)
     rest = [c for c in docs.columns if c != "text"]
-    packed = known.select(F.col(row).alias("id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("__"), *[known[c] for c in rest]).alias("row"))
+    packed = known.select(F.col(row).alias("id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias(spare("none", rest)), *[known[c] for c in rest]).alias("row"))
     cut = spans.dedup(packed, work)
     own = {c: F.col("row").getField(c) for c in rest} | {"text": F.col("text")}
     if "n_chars" in own:
@@ -81,7 +74,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources emits it. A null text has size 0, a null source is a source; rows that
     repeat an id are documents each; an empty table stays empty."""
     work = Work(spark, "stage-mixing")
-    row, times = spare(docs, "row"), spare(docs, "times")
+    row, times = spare("row", docs.columns), spare("times", docs.columns)
     known = numbered(work, docs, row)
     emitted = mixing.copies(known.select(F.col(row).alias("doc_id"), "text", "source"))
     emitted = work.save(emitted.where("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").cast("int").alias(times)), "emitted")

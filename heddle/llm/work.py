@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.work import Work, partitions, ranked, shared_root  # noqa: F401
+from heddle.work import Work, partitions, ranked, shared_root, spare  # noqa: F401
 
 #: ASCII white space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"

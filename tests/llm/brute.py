@@ -85,30 +85,32 @@ def fingerprint(text, samples=32):
     return "".join(f"{x:08x}" for x in out)
 
 
-def spans(docs):
-    """docs: (id, text) in any order. Returns kept texts by id, from sentences() and a plain sweep over all spans."""
-    from heddle.llm.spans import LEAST, sentences
+def spans(docs, least=16):
+    """docs: (id, text) in any order. Returns kept texts by id: of all runs of two sentences and `least` words or more, those whose first occurrence (by id, then place) is another one go, unless they overlap it."""
+    from heddle.llm.spans import sentences
 
     cut = {i: sentences(t or "") for i, t in docs}
     runs = {}
     for i, (parts, sizes, hashes) in cut.items():
         n = len(parts)
-        enough = lambda a, b: sum(sizes[a:b]) >= LEAST
-        shortest = {(a, next((b for b in range(a + 2, n + 1) if enough(a, b)), None)) for a in range(n)}
-        shortest |= {(next((a for a in range(b - 2, -1, -1) if enough(a, b)), None), b) for b in range(n + 1)}
-        shortest = {x for x in shortest if None not in x}
-        runs[i] = sorted((a, b, hashes[8 * a : 8 * b]) for a, b in shortest)
+        runs[i] = []
+        for a in range(n):
+            for b in range(a + 2, n + 1):
+                words = sum(sizes[a:b])
+                if words >= least:
+                    runs[i].append((a, b, hashes[8 * a : 8 * b]))
+                if words > least + 40:  # longer runs are made of these
+                    break
     first = {}
     for i in sorted(runs):
-        for _, _, h in runs[i]:
-            first.setdefault(h, i)
+        for a, b, h in runs[i]:
+            first.setdefault(h, (i, b))
     kept = {}
     for i, own in runs.items():
-        gone, ends = set(), {}
+        gone = set()
         for a, b, h in own:
-            if first[h] != i or h in ends and a > ends[h]:
+            if first[h][0] != i or a >= first[h][1]:
                 gone |= set(range(a, b))
-            ends[h] = b
         kept[i] = "".join(p for n, p in enumerate(cut[i][0]) if n not in gone)
     return kept
 

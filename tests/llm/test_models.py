@@ -54,6 +54,21 @@ def test_ngram_scores_match_brute_force(spark, sf):
         assert math.isclose(sum(p(a, w) for w in uni) + p(a, b"no such\nword"), 1.0, rel_tol=1e-9)
 
 
+def test_ngram_tells_of_lost_files(spark):
+    from glob import glob
+    from os import rename
+
+    import pytest
+
+    d = docs_of(spark, [(i, f"w{i % 7} v{i % 5} u{i % 3} w{i % 7}") for i in range(40)])
+    model = ngram.fit(d.select("text"), Work(spark, "test"))
+    pairs = sorted(glob(model.root.replace("file://", "") + "/pair-*"))
+    assert len(pairs) == len(model.buckets) > 1
+    rename(pairs[0], pairs[0] + ".lost")
+    with pytest.raises(Exception, match="No such file|FileNotFound"):
+        ngram.score(d, model).agg({"score": "sum"}).collect()
+
+
 def test_ngram_with_no_training_and_odd_texts(spark):
     d = docs_of(spark, [(1, None), (2, ""), (3, "A a b"), (3, "A a b"), (None, "x"), (4, "w " * 4000)])
     empty = ngram.fit(d.limit(0).select("text"), Work(spark, "test"))

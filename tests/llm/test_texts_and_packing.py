@@ -21,9 +21,9 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], DOCS)
 
 
-def dedup(spark, rows):
+def dedup(spark, rows, **kw):
     d = spark.createDataFrame(list(rows), "id long, text string").repartition(3)
-    return {r.id: r.text for r in spans.dedup(d, Work(spark, "test")).collect()}
+    return {r.id: r.text for r in spans.dedup(d, Work(spark, "test"), **kw).collect()}
 
 
 def passage(n, seed):
@@ -63,7 +63,26 @@ def test_spans_of_stutters_and_of_the_ends_of_repeats(spark):
     got = dedup(spark, docs)
     assert got == brute.spans(docs)
     assert got[0] == docs[0][1] and not any(part in got[i] for i in range(1, 5) for part in repeated[:-1].split(". "))
-    assert got[20] == docs[5][1] and passage(30, 7)[:40] in got[21] and len(got[21]) < 0.7 * len(docs[6][1])
+    assert got[20].count("und. ") < 35 and got[20].endswith(passage(30, 9)) and passage(30, 7)[:40] in got[21] and len(got[21]) < 0.7 * len(docs[6][1])
+
+
+def test_spans_that_follow_at_once_go(spark):
+    two = "one two three four five six seven eight. nine ten eleven twelve thirteen fourteen fifteen sixteen. "
+    line = "the same line of seven words here\n"
+    docs = [(1, two * 2), (2, line * 20), (3, two.upper().replace(" ", "  ") * 6), (4, "a b c. d e f. g. a b c. d e f."), (5, "d e f. g. x. y")]
+    got = dedup(spark, docs)
+    assert got == brute.spans(docs)
+    assert got[1] == two.rstrip() and got[2] == line * 3 and got[3] == "" and got[4] == docs[3][1]
+    short = dedup(spark, docs, least=1)
+    assert short == brute.spans(docs, least=1)
+    assert short[4] == "a b c. d e f. g." and short[5] == " x. y" and short[2] == line * 2
+
+
+def test_spans_keep_further_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "x", 7, "c", 0.5), (2, "y", 8, "d", 1.5)], "id long, text string, removed int, cuts string, gone double")
+    out = spans.dedup(d, Work(spark, "test"))
+    assert out.columns == ["id", "text", "removed_", "cuts_", "removed", "cuts", "gone"]
+    assert sorted((r.id, r.removed, r.cuts, r.gone, r.removed_) for r in out.collect()) == [(1, 7, "c", 0.5, 0), (2, 8, "d", 1.5, 0)]
 
 
 def test_spans_edges(spark):
@@ -241,9 +260,13 @@ def test_pipeline_matches_brute_force(spark, sf):
 
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]])
 def test_stages_with_nulls_repeats_and_clashing_columns(spark, sf, stage):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, times int, gone int, size int, id string"
-    rows = [(1, "a b c", "en", "s", 5, 1, 2, 3, 4, "x"), (1, "a b c", "en", "s", 5, 1, 2, 3, 4, "x"), (None, None, None, None, None, None, None, None, None, None), (2, "", "en", None, 0, 0, 0, 0, 0, ""), (3, "w " * 3000, "en", "t", 6000, 1, 1, 1, 1, "y")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, times int, gone int, size int, id string, __pid int, removed int, cuts string, place int, none int"
+    rows = [(1, "a b c", "en", "s", 5, 1, 2, 3, 4, "x"), (1, "a b c", "en", "s", 5, 1, 2, 3, 4, "x"), (None,) * 10, (2, "", "en", None, 0, 0, 0, 0, 0, ""), (3, "w " * 3000, "en", "t", 6000, 1, 1, 1, 1, "y")]
+    rows = [(*r, 77 + i, 5, "cut", 6, 7) for i, r in enumerate(rows)]
     d = spark.createDataFrame(rows, schema)
     out = stage(spark, d, sf)
     assert out.columns == d.columns and out.count() <= 3 * len(rows)
+    known = {r[10]: r for r in rows}
+    for r in out.collect():  # other columns come back as they were
+        assert tuple(r)[5:] == known[r["__pid"]][5:] and r.doc_id == known[r["__pid"]][0]
     assert stage(spark, d.limit(0), sf).collect() == []
