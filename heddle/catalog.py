@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import clinical, details, documents, extras, geometry, measures, rules, search, sequences, series, sources, state, viewer, voxels
+from .plans import bricks, clinical, details, documents, extras, geometry, measures, rules, search, sequences, series, sources, state, viewer, voxels
 
-MODULES = (search, series, measures, sequences, voxels, geometry, rules, clinical, documents, state, sources, details, viewer, extras)
+MODULES = (search, series, measures, sequences, voxels, bricks, geometry, rules, clinical, documents, state, sources, details, viewer, extras)
 
 
 def queries() -> dict:
