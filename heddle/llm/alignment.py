@@ -1,9 +1,10 @@
 """Cross-tokenizer alignment: what two tokenizers make of the same bytes, group by group and link by link.
 
-Python tokenises, and gives the ids and end offsets of both sides. All else is Spark's higher-order functions: the ends of
-both sides, tagged and sorted together, make one list; each of its places is a stretch of bytes that one token of either
-side covers, which is a link, and a place where both end (array_intersect of the ends) closes a group. So every list is
-walked once, whatever its length.
+Python tokenises: of a portion of the texts it gives the different words, each with the ids and end offsets of both sides,
+and each text's words as their places in that list. All else is Spark's higher-order functions. In a word the ends of both
+sides, tagged and sorted together, make one list; each of its places is a stretch of bytes that one token of either side
+covers, which is a link, and a place where both end (array_intersect of the ends) closes a group. A text's groups and links
+are those of its words, since both sides end where a word ends. Every list is walked once, whatever its length.
 
 How many documents hold a pair of ids linked is a sum over each document's different pairs. For the columns that need
 those counts, the commonest pairs (KEPT at most) are broadcast, and the rest of the pairs, few rows each, are joined by
@@ -13,7 +14,7 @@ exchange; both give the same numbers.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,17 @@ from .worker import Memo, kept, trimmed
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs that are broadcast at most.
 KEPT = 1 << 20
+#: Bytes of text whose different words are looked at together: the more, the fewer, and the larger a row.
+PORTION = 8 << 20
 #: Letters of new words that a tokenizer gets at a time, and bytes of words' ids that a worker keeps.
 AT_ONCE, MEMORY = 1 << 16, 40 << 20
 MARK = "▁"
-#: Blanks that a word may begin with: see Tokens.
-BLANKS = b" \n\t"
+#: Blanks that a word may begin with, and bytes that may end a character before one: see Tokens. The last byte of white
+#: space beyond ASCII is in UNSURE, unless the byte before shows that it isn't white space.
+BLANKS = np.isin(np.arange(256), [0x20, 0x0A, 0x09])
+PRINTED = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
+UNSURE = np.isin(np.arange(256), [*range(0x80, 0x8B), 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
+TWO = (np.arange(256) >= 0xC3) & (np.arange(256) < 0xE0)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -100,26 +107,35 @@ class Tokens:
                 size += len(words[at])
                 at += 1
             sure = [w[-1] > " " and not w[-1].isspace() and MARK not in w for w in some]
-            joined = "".join(w for w, ok in zip(some, sure) if ok)
-            split = self._split(joined, [len(w.encode()) for w, ok in zip(some, sure) if ok]) if joined else iter(())
+            joined = "".join([w for w, ok in zip(some, sure) if ok])
+            split = self._split(joined, words[at - len(some) : at], sure) if joined else iter(())
             if split is None:
                 yield from (self._value(*self._pair(w)) for w in some)
             else:
                 yield from (next(split) if ok else self._value(*self._pair(w)) for w, ok in zip(some, sure))
 
-    def _split(self, joined: str, sizes: list[int]) -> Iterator[bytes] | None:
+    def _split(self, joined: str, words: list[bytes], sure: list[bool]) -> Iterator[bytes] | None:
+        """The values of words that were tokenised together, or None if a token reaches over an end or bytes differ."""
         a, b = self._pair(joined)
         if b is None:
             return None
-        ends = np.cumsum(sizes)
-        parts = []
+        ends = np.cumsum([len(w) for w, ok in zip(words, sure) if ok])
+        sides, numbers = [], []
         for ids, size in ((np.array(a, np.int64), self.a_size), (np.array(b, np.int64), self.b_size)):
             own = np.cumsum(size[ids])
-            cut = np.searchsorted(own, ends)
-            if (own[cut] != ends).any():
+            last = np.searchsorted(own, ends)
+            if (own[last] != ends).any():
                 return None
-            parts.append(np.split(ids, cut[:-1] + 1))
-        return iter([self._value(x, y) for x, y in zip(*parts)])
+            sides.append(ids)
+            numbers.append(np.diff(last, prepend=-1))
+        total = 1 + numbers[0] + numbers[1]
+        start = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), "<u4")
+        out[start] = numbers[0]
+        for ids, n, first in ((sides[0], numbers[0], start + 1), (sides[1], numbers[1], start + 1 + numbers[0])):
+            out[np.arange(len(ids)) + np.repeat(first - (np.cumsum(n) - n), n)] = ids
+        raw = out.tobytes()
+        return iter([raw[x:y] for x, y in zip((4 * start).tolist(), (4 * (start + total)).tolist())])
 
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """The code of every word of space + text in order, the number of words of each text, and the different words."""
@@ -129,12 +145,9 @@ class Tokens:
         starts = np.frombuffer(offsets, np.int64)[full.offset : full.offset + len(full) + 1]
         t = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]]
         first = starts - starts[0]
-        blank = np.isin(t, np.frombuffer(BLANKS, np.uint8))
-        before = np.concatenate([[0, 0], t[:-1]])
+        before = np.concatenate([[0, 0], t[:-1]]).astype(np.uint8)
         last, lead = before[1:], before[:-1]
-        # the last byte of a character that is no white space: printable ASCII, of two bytes from C3 on, or one that ends none
-        plain = (last > 0x20) & (last < 0x7F) | (last >= 0x80) & ((lead >= 0xC3) & (lead < 0xE0) | ~np.isin(last, np.array([*range(0x80, 0x8B), 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF], np.uint8)))
-        cut = blank & plain
+        cut = BLANKS[t] & (PRINTED[last] | (last >= 0x80) & (TWO[lead] | ~UNSURE[last]))
         cut[first[:-1]] = True
         begin = np.flatnonzero(cut)
         sizes = np.diff(np.searchsorted(begin, first))
@@ -142,11 +155,11 @@ class Tokens:
         words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(t.tobytes())]).dictionary_encode()
         return np.asarray(words.indices, np.int64), sizes.astype(np.int64), words.dictionary.to_pylist()
 
-    def __call__(self, texts: pa.Array) -> Iterator[list[pa.Array]]:
-        """a_ids, a_ends, b_ids, b_ends of portions of the texts, in order; none for a text that is null, empty, or whose
-        bytes aren't those of its tokens."""
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+        """For portions of the texts, in order: each text's words as places in a list, and of that list's words a_ids, a_ends,
+        b_ids and b_ends. A text that is null, empty, or whose bytes aren't those of its tokens has no words."""
         kept = self.kept
-        for begin, end in portions(texts):
+        for begin, end in portions(texts, PORTION):
             own = texts[begin:end]
             some = np.asarray(pc.fill_null(pc.greater(pc.binary_length(own), 0), False))
             sizes = np.zeros(len(own), np.int64)
@@ -159,16 +172,17 @@ class Tokens:
             kept.learn(new)
             size = np.fromiter(map(len, held), np.int64, len(held)) // 4
             flat = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
-            start = np.cumsum(size) - size
-            good = size > 0
+            start, good = np.cumsum(size) - size, size > 0
             n_a = np.zeros(len(held), np.int64)
             n_a[good] = flat[start[good]]
             n_b = np.where(good, size - 1 - n_a, 0)
             of = np.repeat(np.arange(len(own)), sizes)
             whole = np.ones(len(own), bool)
             whole[of[~good[codes]]] = False
-            codes, of = codes[whole[of]], of[whole[of]]
-            yield [x for first, n, length in ((start + 1, n_a, self.a_size), (start + 1 + n_a, n_b, self.b_size)) for x in self._lists(spread(flat, first[codes], n[codes]), np.bincount(of, n[codes], len(own)).astype(np.int64), length)]
+            kept_words = whole[of]
+            places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(whole, sizes, 0))).astype(np.int32)), pa.array(codes[kept_words].astype(np.int32)))
+            sides = ((start + 1, n_a, self.a_size), (start + 1 + n_a, n_b, self.b_size))
+            yield places, [x for first, n, length in sides for x in self._lists(spread(flat, first, n), n, length)]
 
     @staticmethod
     def _lists(ids: np.ndarray, sizes: np.ndarray, length: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -180,66 +194,112 @@ class Tokens:
         return tuple(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids, ends))
 
 
+INTS = T.ArrayType(T.IntegerType(), False)
+SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
+
+
+def _one(item: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(item)], pa.int32()), item)
+
+
 def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id, a_ids, a_ends, b_ids, b_ends of every row of (doc_id, text)."""
+    """A row for each portion of (doc_id, text): docs, an array of doc_id and the text's words as places in words, which has
+    a_ids, a_ends, b_ids, b_ends of the portion's different words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = kept("alignment", (a_path, b_path), lambda: Tokens(a_path, b_path))
         for b in trimmed(batches):
             done = 0
-            for lists in tokens(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0)[done : done + len(lists[0])], *lists], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
-                done += len(lists[0])
-
-    ints = T.ArrayType(T.IntegerType(), False)
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, ints) for c in ("a_ids", "a_ends", "b_ids", "b_ends"))])
+            for places, sides in tokens(b.column(1)):
+                own = b.column(0)[done : done + len(places)]
+                done += len(places)
+                row = [_one(pa.StructArray.from_arrays([own, places], ["doc_id", "at"])), _one(pa.StructArray.from_arrays(sides, SIDES))]
+                yield pa.RecordBatch.from_arrays(row, ["docs", "words"])
+
+    doc = T.StructType().add("doc_id", "long").add("at", INTS, False)
+    word = T.StructType([T.StructField(c, INTS, False) for c in SIDES])
+    schema = T.StructType().add("docs", T.ArrayType(doc, False), False).add("words", T.ArrayType(word, False), False)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _tagged(ends: str, side: int) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value put in, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+def _tagged(ends: Column, side: int) -> Column:
     """Ends in the upper 32 bits, the side in the next, the token's index in the lower 31: sorting puts both sides in order
     of their ends, of equal ends the first side's first."""
-    return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + F.lit(side << 31).cast("long") + i.cast("long"))
+    return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + _long(side << 31) + i.cast("long"))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and pairs and times: the different linked pairs of ids (the first
-    side's in the upper 32 bits) in order, and how often each is linked. tokens: as tokenised() gives them."""
-    low = (1 << 31) - 1
-    side = lambda x: F.shiftright(x, 31).bitwiseAND(F.lit(1).cast("long"))
-    at = lambda c, i: F.get(F.col(c), i.cast("int"))
-    df = tokens.withColumn("ends", F.sort_array(F.concat(_tagged("a_ends", 0), _tagged("b_ends", 1))))
-
-    def place(x: Column, p: Column) -> Column:
-        """The pair that covers the bytes before this end; where both sides end here, the second's entry tells how many
-        tokens of either side have ended, as a negative number."""
-        i = x.bitwiseAND(F.lit(low).cast("long"))
-        pair = lambda a, b: F.shiftleft(at("a_ids", a).cast("long"), 32) + at("b_ids", b).cast("long")
-        both = F.shiftright(F.get("ends", p - 1), 32) == F.shiftright(x, 32)
-        return F.when(side(x) == 0, pair(i, p - i)).when(F.coalesce(both, F.lit(False)), -(F.shiftleft(p - i, 32) + i + 1)).otherwise(pair(p - i, i))
-
-    df = df.withColumn("places", F.transform("ends", place))
-    df = df.select(
-        "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"),
-        F.size(F.array_intersect("a_ends", "b_ends")).cast("long").alias("n_groups"),
-        F.sort_array(F.filter("places", lambda x: x >= 0)).alias("links"),
-        F.transform(F.filter("places", lambda x: x < 0), lambda x: -x).alias("closed"),
-        F.col("a_ids").cast("array<string>").alias("a_txt"), F.col("b_ids").cast("array<string>").alias("b_txt"),
+def _pair_of(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 32) + b.cast("long")
+
+
+def _group(w: Column) -> Column:
+    """text (`a1,a2|b1;...`), pairs (linked ids, the first side's in the upper 32 bits), sizes (tokens of either side, in the
+    halves of a long) and groups of a word."""
+    a_ids, a_ends, b_ids, b_ends = (w.getField(c) for c in SIDES)
+    shape = lambda text, pairs, groups: F.struct(text.alias("text"), pairs.alias("pairs"), _pair_of(F.size(a_ids), F.size(b_ids)).alias("sizes"), groups.cast("long").alias("groups"))
+    alike = shape(
+        F.array_join(F.zip_with(a_ids, b_ids, lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string"))), ";"),
+        F.zip_with(a_ids, b_ids, _pair_of),
+        F.size(a_ids),
     )
 
-    def group(x: Column, k: Column) -> Column:
-        last = F.coalesce(F.get("closed", k - 1), F.lit(0).cast("long"))
-        a0, a1 = (F.shiftright(v, 32).cast("int") for v in (last, x))
-        b0, b1 = (v.bitwiseAND(F.lit((1 << 32) - 1).cast("long")).cast("int") for v in (last, x))
-        several = F.concat(F.array_join(F.slice("a_txt", a0 + 1, a1 - a0), ","), F.lit("|"), F.array_join(F.slice("b_txt", b0 + 1, b1 - b0), ","))
-        # most groups are a token of each side
-        return F.when(x - last == F.lit((1 << 32) + 1), F.concat(F.get("a_txt", a0), F.lit("|"), F.get("b_txt", b0))).otherwise(several)
+    def place(ends: Column) -> Callable[[Column, Column], Column]:
+        """The pair that covers the bytes before an end; where both sides end, the second's entry tells how many tokens of
+        either side have ended, as a negative number."""
+
+        def at(x: Column, p: Column) -> Column:
+            i = x.bitwiseAND(_long((1 << 31) - 1)).cast("int")
+            first = x.bitwiseAND(_long(1 << 31)) == 0
+            both = (p > 0) & (F.shiftright(F.get(ends, p - 1), 32) == F.shiftright(x, 32))
+            pair = lambda a, b: _pair_of(F.get(a_ids, a), F.get(b_ids, b))
+            return F.when(first, pair(i, p - i)).when(both, -_pair_of(p - i, i + 1)).otherwise(pair(p - i, i))
+
+        return at
+
+    def group(closed: Column) -> Callable[[Column, Column], Column]:
+        """The ids of either side between one group's close and the next."""
 
-    text = F.array_join(F.transform("closed", group), ";")
-    starts = F.filter(F.sequence(F.lit(0), F.size("links") - 1), lambda p: F.coalesce(F.get("links", p) != F.get("links", p - 1), F.lit(True)))
+        def text(x: Column, k: Column) -> Column:
+            last = F.when(k > 0, F.get(closed, k - 1)).otherwise(_long(0))
+            ids = lambda side, of: F.array_join(F.slice(side, of(last) + 1, of(x) - of(last)).cast("array<string>"), ",")
+            return F.concat(ids(a_ids, lambda v: F.shiftright(v, 32).cast("int")), F.lit("|"), ids(b_ids, lambda v: v.bitwiseAND(_long((1 << 32) - 1)).cast("int")))
+
+        return text
+
+    walked = _let(F.sort_array(F.concat(_tagged(a_ends, 0), _tagged(b_ends, 1))), lambda ends: F.transform(ends, place(ends)))
+    closed = lambda places: F.transform(F.filter(places, lambda x: x < 0), lambda x: -x)
+    apart = _let(walked, lambda places: shape(_let(closed(places), lambda c: F.array_join(F.transform(c, group(c)), ";")), F.filter(places, lambda x: x >= 0), F.size(F.array_intersect(a_ends, b_ends))))
+    return F.when(a_ends == b_ends, alike).otherwise(apart)
+
+
+def aligned(tokens: DataFrame) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and pairs and times: the different linked pairs of ids in order, and
+    how often each is linked. tokens: as tokenised() gives them."""
+    df = tokens.select("docs", F.transform("words", _group).alias("words"))
+    df = df.select("docs", F.col("words.text").alias("texts"), F.col("words.pairs").alias("links"), F.col("words.sizes").alias("sizes"), F.col("words.groups").alias("groups"))
+
+    def doc(d: Column) -> Column:
+        at = d.getField("at")
+        total = lambda c: F.aggregate(at, _long(0), lambda sum_, w: sum_ + F.get(c, w))
+        text = F.array_join(F.transform(at, lambda w: F.get("texts", w)), ";")
+        links = F.sort_array(F.flatten(F.transform(at, lambda w: F.get("links", w))))
+        sha = F.when(F.size(at) > 0, F.sha2(text, 256)).otherwise(F.lit(""))
+        return F.struct(d.getField("doc_id").alias("doc_id"), total("sizes").alias("sizes"), total("groups").alias("n_groups"), sha.alias("groups_sha256"), links.alias("links"))
+
+    df = df.select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*")
+    starts = F.filter(F.sequence(F.lit(0), F.size("links") - 1), lambda p: F.when(p > 0, F.get("links", p) != F.get("links", p - 1)).otherwise(True))
     df = df.select(
-        "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"),
-        F.when(F.size("closed") > 0, F.sha2(text, 256)).otherwise(F.lit("")).alias("groups_sha256"), "links",
+        "doc_id", F.shiftright("sizes", 32).alias("n_a"), F.col("sizes").bitwiseAND(_long((1 << 32) - 1)).alias("n_b"),
+        "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256", "links",
         F.when(F.size("links") > 0, starts).otherwise(F.array().cast("array<int>")).alias("starts"),
     )
     times = F.transform("starts", lambda s, k: F.coalesce(F.get("starts", k + 1), F.size("links")) - s)
@@ -271,7 +331,7 @@ def align(docs: DataFrame, work: Work, a_path: str | None = None, b_path: str |
 
     A text that is null or empty, or whose tokens' bytes differ from space + text, has no tokens: zeros and ''. Rows that
     repeat a document, or have no id, are documents each, in the counts too; an empty table gives an empty one; other
-    columns aren't read. A text's lists are one row: it may have some hundred million tokens.
+    columns aren't read. A text's lists are in one row: it may have some hundred million tokens.
     """
     rows = aligned(tokenised(docs, a_path or tokenizer_path(BYTES), b_path or tokenizer_path(PIECES)))
     rows = work.save(rows.withColumn("row", F.monotonically_increasing_id()), "aligned")

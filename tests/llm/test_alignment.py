@@ -103,11 +103,21 @@ def test_words_apart_are_the_whole_text(tools):
     letters = list("ab é'sß.,-1  \n\t\r") + [" ", " ", "\u0085", "　", "日", "🙂", "…", "à", "th", "ing", "  ", "▁", "\x1c", "\x0b", " ", "©", " ", "ꀠ", "x  "]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
     tokens = alignment.Tokens(tokenizer_path(alignment.BYTES), tokenizer_path(alignment.PIECES))
-    parts = [*tokens(pa.array(texts)), ]
-    a_ids, a_ends, b_ids, b_ends = (sum((p[k].to_pylist() for p in parts), []) for k in range(4))
-    for i, t in enumerate(texts):
+    found = []
+    for places, sides in tokens(pa.array(texts)):
+        words = [*zip(*(x.to_pylist() for x in sides))]
+        for own in places.to_pylist():
+            ids, ends, at = ([], []), ([], []), 0
+            for w in own:
+                for k in (0, 1):
+                    ids[k].extend(words[w][2 * k])
+                    ends[k].extend(at + e for e in words[w][2 * k + 1])
+                assert words[w][1][-1] == words[w][3][-1]
+                at += words[w][1][-1]
+            found.append((ids, ends))
+    for (ids, ends), t in zip(found, texts, strict=True):
         a, b = both(tools, t)
-        assert (a_ids[i], a_ends[i], b_ids[i], b_ends[i]) == ([x[0] for x in a], [x[2] for x in a], [x[0] for x in b], [x[2] for x in b]), repr(t)
+        assert (ids, ends) == (([x[0] for x in a], [x[0] for x in b]), ([x[2] for x in a], [x[2] for x in b])), repr(t)
 
 
 def test_a_very_long_text_is_one_pass(spark, tools):
