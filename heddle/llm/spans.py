@@ -134,36 +134,41 @@ def dedup(docs: DataFrame, work: Work, least: int = LEAST) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             only("spans")
             for b in trimmed(batches):
-                ids, out = [], []
+                ids, out, again = [], [], []
                 for i, text in zip(b.column(0).to_pylist(), b.column(1)):
                     _, sizes, hashes = sentences(text.as_py())
-                    own = {h for _, _, h in onwards(sizes, hashes, least)}
+                    found = onwards(sizes, hashes, least)
+                    own = {h for _, _, h in found}
+                    twice = not back and len(own) < len(found)
                     if back:
                         own = {h for _, _, h in backwards(sizes, hashes, least)} - own
                     ids.append(np.full(len(own), i, np.int64))
                     out.append(np.fromiter(own, np.uint64, len(own)))
+                    again.append(np.zeros(len(own), bool))
+                    again[-1][:1] = twice  # said once for a document
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out).view(np.int64))], ["id", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(again))], ["id", "h", "again"])
 
         return run
 
-    def repeats(texts: DataFrame, back: bool) -> DataFrame:
-        """id, h, first of every document's spans that another document has too."""
-        found = work.save(texts.mapInArrow(hashes(back), "id long, h long"), "spans")
+    def repeats(texts: DataFrame, back: bool) -> tuple[DataFrame, DataFrame]:
+        """id, h, first of every document's spans that another document has too; and id of those that repeat their own."""
+        found = work.save(texts.mapInArrow(hashes(back), "id long, h long, again boolean"), "spans")
         known = found.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
         known = work.save(known.select("h", "first"), "first")
-        both = work.save(found.join(known.hint("merge"), "h"), "repeats")
+        both = work.save(found.drop("again").join(known.hint("merge"), "h"), "repeats")
+        alone = None if back else work.save(found.where("again").select("id").distinct(), "alone")
         work.drop(found, known)
-        return both
+        return both, alone
 
     texts = docs.where("id is not null and text is not null").select("id", "text")
-    some = repeats(texts, False)
-    more = repeats(texts.join(some.select("id").distinct().hint("merge"), "id", "left_semi"), True)
+    some, alone = repeats(texts, False)
+    more, _ = repeats(texts.join(some.select("id").distinct().hint("merge"), "id", "left_semi"), True)
     extra = [c for c in docs.columns if c not in ("id", "text")]
     mark, removed_, cuts_ = (spare(x, docs.columns) for x in ("gone", "removed", "cuts"))
-    gone = some.unionByName(more).where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("h").alias(mark))
-    gone = work.save(gone, "gone")
-    work.drop(some, more)
+    gone = some.unionByName(more).where(F.col("id") > F.col("first")).select("id", "h").unionByName(alone.withColumn("h", F.lit(None).cast("long")))
+    gone = work.save(gone.groupBy("id").agg(F.collect_set("h").alias(mark)), "gone")  # an empty set: only its own repeats
+    work.drop(some, more, alone)
     joined = docs.join(gone.hint("merge"), "id", "left").select("id", "text", mark, *extra)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +177,10 @@ def dedup(docs: DataFrame, work: Work, least: int = LEAST) -> DataFrame:
             for begin in range(0, whole.num_rows, ROWS):
                 b = whole.slice(begin, ROWS)
                 texts, removed, cuts = [], [], []
-                for text, own in zip(b.column(1), b.column(2)):
+                for i, text, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                     text, own = text.as_py(), own.as_py()
-                    if text is None:
-                        texts.append(None)
+                    if text is None or own is None and i is not None:  # no span of it is repeated anywhere
+                        texts.append(text)
                         removed.append(0)
                         cuts.append([])
                         continue
