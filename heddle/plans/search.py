@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heddle.functions import text as X
 from heddle.functions.geo import haversine
 from heddle.operators import ranking as R
+from heddle.operators import results as E
 from heddle.session import Catalog, table
 
 CATALOG = Catalog()
@@ -224,6 +225,33 @@ def result_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("matched"))))
 
 
+CUT_SQL = "CASE WHEN length(text) > 2000 THEN regexp_replace(substr(text, 1, 2000), '\\s+$', '') || chr(10) || '[Truncated. Read the full criteria at the study link or rerun with --full-criteria.]' ELSE coalesce(text, '') END"
+PREVIEW_SQL = SCORED_SQL.replace(STUDIES_SQL, f"SELECT * REPLACE ({CUT_SQL} AS text) FROM ({STUDIES_SQL})")
+
+
+@CATALOG.add(
+    "search_results",
+    f"""WITH k AS (SELECT * FROM ({PREVIEW_SQL}) WHERE status <> 'COMPLETED'), f AS (SELECT doc_id, CAST(score AS INTEGER) AS score, row_number() OVER (ORDER BY {ORDER_SQL}) AS r FROM k ORDER BY r LIMIT 10)
+        SELECT n AS result_count_before_limit, n > 500 AS search_truncated, ids, scores, CASE WHEN n > 500 THEN 'The search matched more studies than this tool retrieves. Narrow the condition, terms, or location to see everything relevant.' END AS truncation_note,
+               CAST(NULL AS VARCHAR) AS hint, '{CONDITION}' AS condition, CAST(NULL AS VARCHAR) AS near, length('{E.WARNING}') AS warned
+        FROM (SELECT count(*) AS n FROM k), (SELECT string_agg(doc_id, ',' ORDER BY r) AS ids, string_agg(score, ',' ORDER BY r) AS scores FROM f)""",
+)
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Criteria are cut before they are scored, as they are shown; the whole envelope is one row."""
+    c = F.col
+    s = studies(spark, sf_dir).withColumn("text", E.criteria(c("text")))
+    s = s.withColumn("score", R.relevance(c("title"), c("interventions"), c("text"), c("phases"), c("kinds"), c("status"), CONDITION, TERMS))
+    kept = s.where("status <> 'COMPLETED'").select("doc_id", "score", "status", "phases", "updated")
+    order = R.rank_order(c("score"), c("status"), c("phases"), c("updated"), c("doc_id"))
+    more = kept.agg((F.count(F.lit(1)) > 500).alias("truncated"))
+    d = E.envelope(kept, order, E.echo(CONDITION, TERMS), 10, more)
+    listed = lambda f: F.array_join(F.transform("results", lambda r: r.getField(f).cast("string")), ",")
+    return d.select(
+        "result_count_before_limit", "search_truncated", listed("doc_id").alias("ids"), listed("score").alias("scores"), "truncation_note", "hint",
+        F.get_json_object("search", "$.condition").alias("condition"), F.get_json_object("search", "$.near").alias("near"), F.length("warning").cast("long").alias("warned"),
+    )
+
+
 @CATALOG.add("site_status_note", f"""SELECT s_suppkey, CASE WHEN coalesce(status, '') <> '' THEN status ELSE 'not listed (study is RECRUITING)' END AS status FROM ({SITES_SQL})""")
 def site_status_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = X.clean(F.col("status"))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from heddle.lineage import cut
+from heddle.sources.sinks import swapped
+
 # Endings that a folder scan leaves out.
 SKIPPED = (
     ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".pdf", ".txt", ".htm", ".html", ".xml",
@@ -123,9 +126,10 @@ class _PagesReader(DataSourceReader):
 
 
 def paged(spark: SparkSession, pages: str, most: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The rows of a paged service (position, row), and one row that says whether there were more pages (truncated)."""
+    """The rows of a paged service (position, row), and one row that says whether there were more pages (truncated). The
+    service is read once, into the shared folder; rows and flag are parts of what was read."""
     spark.dataSource.register(Pages)
-    d = spark.read.format("heddle_pages").option("pages", pages).option("most", most).load()
+    d = cut(spark.read.format("heddle_pages").option("pages", pages).option("most", most).load())
     return d.where("not truncated").select("position", "row"), d.agg(F.coalesce(F.max("truncated"), F.lit(False)).alias("truncated"))
 
 
@@ -138,8 +142,9 @@ def numbered_names(existing: DataFrame, new: DataFrame, order: list[str], stem:
 
 
 def save_json(df: DataFrame, path: str, replace: bool = True) -> None:
-    """Rows as JSON lines in a folder that appears whole or not at all; without `replace` an existing one is an error."""
-    df.write.mode("overwrite" if replace else "errorifexists").json(path)
+    """Rows as JSON lines in a folder: written beside it, then put in its place, so that a failed write leaves the old rows;
+    without `replace` an existing one is an error. For readers beside writers see sinks.Versions."""
+    swapped(df.sparkSession, path, df.write.json, replace)
 
 
 def save_masks(masks: DataFrame, path: str) -> None:
