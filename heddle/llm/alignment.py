@@ -32,7 +32,7 @@ BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs that are broadcast at most.
 KEPT = 1 << 20
 #: Bytes of text whose different words are looked at together: the more, the fewer, and the larger a row.
-PORTION = 8 << 20
+PORTION = 2 << 20
 #: Letters of new words that a tokenizer gets at a time, and bytes of words' ids that a worker keeps.
 AT_ONCE, MEMORY = 1 << 16, 40 << 20
 MARK = "▁"
@@ -291,11 +291,12 @@ def aligned(tokens: DataFrame) -> DataFrame:
         at = d.getField("at")
         total = lambda c: F.aggregate(at, _long(0), lambda sum_, w: sum_ + F.get(c, w))
         text = F.array_join(F.transform(at, lambda w: F.get("texts", w)), ";")
-        links = F.sort_array(F.flatten(F.transform(at, lambda w: F.get("links", w))))
+        links = F.flatten(F.transform(at, lambda w: F.get("links", w)))
         sha = F.when(F.size(at) > 0, F.sha2(text, 256)).otherwise(F.lit(""))
         return F.struct(d.getField("doc_id").alias("doc_id"), total("sizes").alias("sizes"), total("groups").alias("n_groups"), sha.alias("groups_sha256"), links.alias("links"))
 
-    df = df.select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*")
+    # outside the lambda the sort is Spark's own of whole numbers
+    df = df.select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*").withColumn("links", F.sort_array("links"))
     starts = F.filter(F.sequence(F.lit(0), F.size("links") - 1), lambda p: F.when(p > 0, F.get("links", p) != F.get("links", p - 1)).otherwise(True))
     df = df.select(
         "doc_id", F.shiftright("sizes", 32).alias("n_a"), F.col("sizes").bitwiseAND(_long((1 << 32) - 1)).alias("n_b"),
