@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import bricks, clinical, details, documents, extras, geometry, lumen, measures, rules, scene, search, sequences, series, sources, state, viewer, voxels
+from .plans import bricks, clinical, details, documents, extras, geometry, json_rules, lumen, measures, rules, scene, search, sequences, series, sources, state, viewer, voxels
 
-MODULES = (search, series, measures, sequences, voxels, bricks, lumen, scene, geometry, rules, clinical, documents, state, sources, details, viewer, extras)
+MODULES = (search, series, measures, sequences, voxels, bricks, lumen, scene, geometry, rules, json_rules, clinical, documents, state, sources, details, viewer, extras)
 
 
 def queries() -> dict:
