@@ -150,10 +150,11 @@ def grow(mask: DataFrame, seeds: DataFrame, shape: tuple[int, int, int], erosion
     """The part of a mask that hangs on seeds (vol, k, j, i): eroded, components (or `steps` growths) of the seeds, dilated
     back inside the mask. A seed off the eroded mask moves to the nearest voxel within `reach`; without one it is ignored."""
     thin = erode(mask, shape, erosion) if erosion else mask.select(*KEY)
-    s = seeds.select("vol", *[F.col(c).alias(f"s{c}") for c in "kji"])
+    near = seeds.select("vol", *[F.col(c).cast("int").alias(f"s{c}") for c in "kji"]).distinct()
+    for c, r in zip("kji", reach):  # every place that a seed may move to, so that the join is on places
+        near = near.withColumn(c, F.explode(F.sequence(F.col(f"s{c}") - r, F.col(f"s{c}") + r)))
     d2 = sum(((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in "ji"), (F.col("k") - F.col("sk")) * (F.col("k") - F.col("sk")))
-    box = [F.abs(F.col(c) - F.col(f"s{c}")) <= r for c, r in zip("kji", reach)]
-    snapped = thin.join(s, "vol").where(box[0] & box[1] & box[2]).groupBy("vol", "sk", "sj", "si").agg(F.min(F.struct(d2.alias("d"), "k", "j", "i")).alias("m")).select("vol", "m.k", "m.j", "m.i").distinct()
+    snapped = thin.join(near.where(inside(shape)), KEY).groupBy("vol", "sk", "sj", "si").agg(F.min(F.struct(d2.alias("d"), "k", "j", "i")).alias("m")).select("vol", "m.k", "m.j", "m.i").distinct()
     if steps is None:
         labels = label(thin, shape)
         hit = labels.join(snapped, KEY, "left_semi").select("vol", "label").distinct()
@@ -164,15 +165,15 @@ def grow(mask: DataFrame, seeds: DataFrame, shape: tuple[int, int, int], erosion
 
 
 def grow_until(seeds: DataFrame, limit: DataFrame, shape: tuple[int, int, int], most: int) -> DataFrame:
-    """The seeds grown inside `limit` until a step adds nothing, `most` steps at most. A step is written before the next;
-    a count reaches the driver."""
+    """The seeds grown inside `limit` until a step adds nothing. A step is written before the next; a count reaches the
+    driver. A region that still grows after `most` steps is a ValueError."""
     region, n = cut(seeds.select(*KEY)), -1
-    for _ in range(most):
+    for _ in range(most + 1):
         region = cut(dilate(region, shape, 1, limit))
         before, n = n, region.count()
         if n == before:
-            break
-    return region
+            return region
+    raise ValueError(f"still growing after {most} steps")
 
 
 def fill_slices(mask: DataFrame, shape: tuple[int, int, int], vols: DataFrame) -> DataFrame:

@@ -126,3 +126,15 @@ def test_reach_is_checked_and_empty_masks_stay_empty(spark, masks):
     with pytest.raises(ValueError):
         B.reach([("sum",), ("dilate", 1)])
     assert B.filtered(B.bricks(df.limit(0), 3), [("dilate", 1)], shape, 3).collect() == []
+
+
+def test_seeds_move_within_reach_only_and_growth_that_goes_on_is_told(spark):
+    line = spark.createDataFrame([(1, 0, 0, i) for i in range(12)] + [(2, 0, 0, 11)], "vol long, k int, j int, i int")
+    shape = (1, 1, 12)
+    seeds = spark.createDataFrame([(1, 0, 0, 3), (2, 0, 0, 3)], "vol long, k int, j int, i int")
+    assert {(r.vol, r.i) for r in V.grow(line, seeds, shape).collect()} == {(1, i) for i in range(12)}
+    assert {(r.vol, r.i) for r in V.grow(line, seeds, shape, reach=(0, 0, 8)).collect()} == {(1, i) for i in range(12)} | {(2, 11)}
+    own = seeds.where("vol = 1")
+    assert V.grow_until(own, line, shape, 8).count() == 12
+    with pytest.raises(ValueError):
+        V.grow_until(own, line, shape, 4)
