@@ -17,21 +17,21 @@ def spacing(df: DataFrame, by: str, position: str) -> DataFrame:
     """
     w = Window.partitionBy(by).orderBy(position)
     d = df.select(by, position, (F.col(position) - F.lag(position).over(w)).alias("d"))
-    real = F.when(F.col("d") > SAME, F.col("d"))
+    d = d.withColumn("real", F.when(F.col("d") > SAME, F.col("d"))).withColumn("step", F.median("real").over(Window.partitionBy(by)))
+    off = F.abs(F.col("real") - F.col("step")) > F.greatest(0.01 * F.col("step"), F.lit(0.02))
     one = d.groupBy(by).agg(
-        F.count(position).alias("n"), F.median(real).alias("step"), (F.max(position) - F.min(position)).alias("coverage"),
-        F.count_if(F.col("d") <= SAME).alias("duplicates"), F.collect_list(real).alias("__d"),
+        F.count(position).alias("n"), F.max("step").alias("step"), (F.max(position) - F.min(position)).alias("coverage"), F.count_if(F.col("d") <= SAME).alias("duplicates"),
+        F.count_if((F.col("step") > 0) & (F.col("real") > 1.5 * F.col("step"))).cast("int").alias("gaps"), F.bool_or(off).alias("off"),
     )
-    gaps = F.when(F.col("step") > 0, F.size(F.filter("__d", lambda x: x > 1.5 * F.col("step")))).otherwise(0)
-    off = F.exists("__d", lambda x: F.abs(x - F.col("step")) > F.greatest(0.01 * F.col("step"), F.lit(0.02)))
+    # The verdicts' texts.
     verdict = (
         F.when(F.col("n") < 2, "-")
         .when(F.col("duplicates") > 0, F.concat(F.col("duplicates").cast("string"), F.lit(" posiciones repetidas")))
         .when(F.col("gaps") > 0, F.concat(F.lit("irregular ("), F.col("gaps").cast("string"), F.lit(" huecos)")))
-        .when(off, "irregular")
+        .when(F.col("off"), "irregular")
         .otherwise("uniforme")
     )
-    return one.withColumn("gaps", gaps).withColumn("verdict", verdict).drop("__d")
+    return one.withColumn("verdict", verdict).drop("off")
 
 
 def mode(df: DataFrame, by: str, value: Column, position: str, out: str = "mode") -> DataFrame:

@@ -13,6 +13,7 @@ from heddle.session import Catalog, table
 
 CATALOG = Catalog()
 CONDITION, TERMS = "the and of nation", "with entlich tion"
+# Fixed value: what a cut text ends with.
 NOTICE = "\n[Truncated. Read the full criteria at the study link or rerun with --full-criteria.]"
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
