@@ -18,6 +18,16 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def numbers(spark: SparkSession, path: str, prefix: str = "") -> list[int]:
+    """The numbers that names in a folder end in, after a prefix, in order."""
+    return sorted(int(x[len(prefix) :]) for x in _names(spark, path) if x.startswith(prefix) and x[len(prefix) :].isdigit())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 class Versions:
     """A table whose every write is a version of its own under one path.
 
@@ -44,7 +54,7 @@ class Versions:
             return False
 
     def _numbers(self, folder: str) -> list[int]:
-        return sorted(int(x) for x in _names(self.spark, f"{self.path}/{folder}") if x.isdigit())
+        return numbers(self.spark, f"{self.path}/{folder}")
 
     def claim(self) -> int:
         n = max(self._numbers("claims"), default=0) + 1
@@ -80,8 +90,7 @@ class Versions:
         for n in self._numbers("data"):
             if n < least:
                 for folder in ("commits", "data"):  # no longer read before it goes
-                    fs, p = _fs(self.spark, f"{self.path}/{folder}/{n:010}")
-                    fs.delete(p, True)
+                    delete(self.spark, f"{self.path}/{folder}/{n:010}")
 
 
 def swapped(spark: SparkSession, path: str, write, replace: bool = True) -> None:
