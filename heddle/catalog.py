@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import bricks, clinical, details, documents, extras, geometry, headers, json_rules, lumen, measures, mesh, rules, scene, search, sequences, series, sources, state, viewer, voxels
+from .plans import bricks, clinical, details, documents, extras, geometry, headers, json_rules, lumen, measures, mesh, reports, rules, scene, search, sequences, series, sources, state, viewer, voxels
 
-MODULES = (search, series, measures, sequences, voxels, bricks, lumen, scene, geometry, mesh, rules, json_rules, clinical, documents, state, sources, headers, details, viewer, extras)
+MODULES = (search, series, measures, sequences, voxels, bricks, lumen, scene, geometry, mesh, rules, json_rules, clinical, documents, state, sources, headers, details, viewer, reports, extras)
 
 
 def queries() -> dict:
