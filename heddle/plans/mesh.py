@@ -38,8 +38,8 @@ def tube_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tube_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed volumes of a tube of radius 2 and of the wall from 1.5 to 2 around it, twelve sides each."""
     frames = upright(spark, sf_dir)
-    volume = lambda mesh, name: G.signed_volume(M.triangles(mesh, "path"), "path").select("path", (F.round(-F.col("volume"), 4) + 0.0).alias(name))
-    tube, wall = M.tube(frames, "path", "n", 12, F.lit(2.0)), M.sleeve(frames, "path", "n", 12, F.lit(2.0), F.lit(1.5))
+    volume = lambda triangles, name: G.signed_volume(triangles, "path").select("path", (F.round(-F.col("volume"), 4) + 0.0).alias(name))
+    tube, wall = M.tube_triangles(frames, "path", "n", 12, F.lit(2.0)), M.sleeve_triangles(frames, "path", "n", 12, F.lit(2.0), F.lit(1.5))
     return volume(tube, "tube").join(volume(wall, "sleeve"), "path")
 
 
