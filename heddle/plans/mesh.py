@@ -51,5 +51,5 @@ def tube_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ellipsoid_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    mesh = M.ellipsoids(table(spark, sf_dir, "supplier"), "s_suppkey", [k % 7, k % 11, F.lit(3)], [1 + k % 3, 2 + k % 5, F.lit(0.5)], 20, 10)
-    return G.signed_volume(M.triangles(mesh, "s_suppkey"), "s_suppkey").select("s_suppkey", F.round("volume", 4).alias("volume"))
+    triangles = M.ellipsoid_triangles(table(spark, sf_dir, "supplier"), "s_suppkey", [k % 7, k % 11, F.lit(3)], [1 + k % 3, 2 + k % 5, F.lit(0.5)], 20, 10)
+    return G.signed_volume(triangles, "s_suppkey").select("s_suppkey", F.round("volume", 4).alias("volume"))
