@@ -36,12 +36,15 @@ def bounding_box(df: DataFrame, by: list[str], axes: str) -> DataFrame:
     return d.withColumns({f"mid_{c}": (F.col(f"low_{c}") + F.col(f"high_{c}")) / 2 for c in axes})
 
 
-def station_summary(df: DataFrame, by: list[str], s: str, thickness: str, radius: str, closed: str, limit: float, step: float) -> DataFrame:
+def station_summary(df: DataFrame, by: list[str], s: str, thickness: str, radius: str, closed: str, limit: float, step: float, worth: float | None = None) -> DataFrame:
     """Length over the limit (strictly), most thickness and where, least open diameter and where, closed length. Of equals
-    the first station wins; a closed station has no open diameter."""
-    open_ = F.when(~F.col(closed), F.struct(F.col(radius).alias("r"), F.col(s).alias("s")))
+    the first station wins; a closed station has no open diameter. With `worth`, where the most and the least are is weighed
+    against the way there: it is at the most thickness * worth - s, and at the least open radius * worth + s."""
+    t, r, at = F.col(thickness), F.col(radius), F.col(s)
+    high, low = (t, r) if worth is None else (t * worth - at, r * worth + at)
     d = df.groupBy(*by).agg(
-        (F.count_if(F.col(thickness) > limit) * step).alias("length_over"), F.max(F.struct(F.col(thickness).alias("t"), (-F.col(s)).alias("s"))).alias("m"),
-        F.min(open_).alias("o"), (F.count_if(closed) * step).alias("closed_length"), F.median(F.when(F.col(thickness) > limit, F.col(thickness))).alias("median_over"),
+        (F.count_if(t > limit) * step).alias("length_over"), F.max(t).alias("thickest"), F.max(F.when(high.isNotNull(), F.struct(high.alias("w"), (-at).alias("s")))).alias("m"),
+        F.min(F.when(~F.col(closed), r)).alias("o"), F.min(F.when(~F.col(closed) & low.isNotNull(), F.struct(low.alias("w"), at.alias("s")))).alias("n"),
+        (F.count_if(closed) * step).alias("closed_length"), F.median(F.when(t > limit, t)).alias("median_over"),
     )
-    return d.select(*by, "length_over", F.col("m.t").alias("thickest"), (-F.col("m.s")).alias("thickest_at"), (2 * F.col("o.r")).alias("narrowest"), F.col("o.s").alias("narrowest_at"), "closed_length", "median_over")
+    return d.select(*by, "length_over", "thickest", (-F.col("m.s")).alias("thickest_at"), (2 * F.col("o")).alias("narrowest"), F.col("n.s").alias("narrowest_at"), "closed_length", "median_over")
