@@ -18,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.lineage import cut
+
 ROWS = "id string, path string, pattern string, parent string, name string, type string, value string, size int"
 VIOLATIONS = ["id", "path", "rule", "value"]
+KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}
 #: A document's rows that are given at a time.
 PART = 20_000
 
@@ -29,8 +32,8 @@ def _walk(document: object, hidden: str) -> Iterator[tuple]:
     todo = [("", "", None, None, document)]
     while todo:
         path, pattern, parent, name, x = todo.pop()
-        kind = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(x), "number")
-        text = x if kind == "string" else None if kind in ("object", "array") else json.dumps(x)
+        kind = KINDS.get(type(x), "number")
+        text = x if kind == "string" else None if kind in ("object", "array") else str(x) if type(x) is int else json.dumps(x)
         yield path, pattern, parent, name, kind, text, len(x) if kind in ("object", "array", "string") else None
         if kind == "object":
             for k, v in reversed(x.items()):
@@ -76,7 +79,9 @@ def flatten(docs: DataFrame, hidden: str = "_") -> DataFrame:
 def matching(pattern: str, column: str = "pattern") -> Column:
     """Rows of a pattern: '*' stands for one key."""
     parts = [re.escape(p).replace(r"\*", r"[^.\[\]]+") if "[*]" not in p else re.escape(p).replace(r"\[\*\]", "\0").replace(r"\*", r"[^.\[\]]+").replace("\0", r"\[\*\]") for p in pattern.split(".")]
-    return F.col(column) == pattern if "*" not in pattern.replace("[*]", "") else F.col(column).rlike("^" + r"\.".join(parts) + "$")
+    if "*" not in pattern.replace("[*]", ""):
+        return F.col(column) == pattern
+    return F.col(column).startswith(pattern.split("*")[0]) & F.col(column).rlike("^" + r"\.".join(parts) + "$")
 
 
 @dataclass
@@ -132,19 +137,38 @@ def _alone(rule: Rule) -> Column:
     return bad
 
 
+def _keys(rule: Rule) -> dict[str, str]:
+    """Patterns of the keys that a rule looks for in an object, by key."""
+    over = rule.pattern.rpartition(".")[0] if rule.span else rule.pattern
+    return {k: f"{over}.{k}" if over else k for k in rule.needs + rule.together + (rule.rising or ()) + (rule.span or ())}
+
+
+def _others(rule: Rule) -> list[str]:
+    """Patterns of the values that a rule looks at besides its own: none if it looks at each value alone."""
+    return [*_keys(rule).values(), *rule.known, *([rule.place or rule.as_long] if rule.place or rule.as_long else []), *([rule.pattern] if rule.unique else [])]
+
+
 def violations(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """VIOLATIONS of a table of ROWS. `rows` is read by every rule that looks at other values: give a written table if it is
-    costly to make. Rows of a document that isn't JSON break the rule 'json'."""
-    at = lambda pattern: rows.where(matching(pattern))
+    """VIOLATIONS of a table of ROWS, which is read three times: give a written table if it is costly to make. Rows of a
+    document that isn't JSON break the rule 'json'.
+
+    Each different pattern is held against the rules' patterns once; rows are then written by the rules' patterns, and a rule
+    reads those of its own only. Patterns that no document has are left out."""
     said = lambda d, rule, value="value": d.select("id", "path", F.lit(rule.name).alias("rule"), F.col(value).cast("string").alias("value"))
-    single = [F.when(matching(r.pattern) & _alone(r), F.lit(r.name)) for r in rules]
-    json_ = F.when(F.col("type") == "invalid", F.lit("json"))
-    found = [rows.select("id", "path", F.explode(F.array_compact(F.array(json_, *single))).alias("rule"), "value")]
-    for r in rules:
+    found = [rows.where("type = 'invalid'").select("id", "path", F.lit("json").alias("rule"), "value")]
+    slots = {p: i for i, p in enumerate(dict.fromkeys(p for r in rules for p in (r.pattern, *_others(r))))}
+    slot = F.array_compact(F.array(*[F.when(matching(p), F.lit(i)) for p, i in slots.items()]))
+    meant = cut(rows.select("pattern").distinct().select("pattern", F.explode(slot).alias("slot")))
+    held = cut(rows.join(meant, "pattern").select("id", "path", "parent", "name", "type", "value", "size", "slot"), "slot")
+    there_are = {r.slot for r in meant.select("slot").distinct().collect()}
+    at = lambda pattern: held.where(F.col("slot") == slots[pattern]).drop("slot")
+    far = [r for r in rules if slots[r.pattern] in there_are]
+    found += [said(at(r.pattern).where(_alone(r)), r) for r in far]
+    for r in far:
         own = at(r.pattern)
-        keys = r.needs + r.together + (r.rising or ()) + (r.span or ())
+        keys = tuple(_keys(r))
         if keys:
-            inside = rows.where(F.col("name").isin(*keys)).groupBy("id", F.col("parent").alias("over")).agg(
+            inside = held.where(F.col("slot").isin([slots[p] for p in _keys(r).values()])).groupBy("id", F.col("parent").alias("over")).agg(
                 F.collect_set("name").alias("has"), *[F.max(F.when(F.col("name") == k, _number())).alias(f"n{i}") for i, k in enumerate(keys)]
             )
             holder = F.col("path") if not r.span else F.col("parent")
@@ -157,23 +181,20 @@ def violations(rows: DataFrame, rules: list[Rule]) -> DataFrame:
                 n = F.size(F.array_intersect(F.array(*map(F.lit, r.together)), has))
                 found.append(said(own_.where((n > 0) & (n < len(r.together))), r))
             if r.rising:
-                i = len(r.needs) + len(r.together)
-                found.append(said(own_.where(F.col(f"n{i}") >= F.col(f"n{i + 1}")), r))
+                low, high = (F.col(f"n{keys.index(k)}") for k in r.rising)
+                found.append(said(own_.where(low >= high), r))
             if r.span:
-                i = len(keys) - 2
-                low, high = F.col(f"n{i}"), F.col(f"n{i + 1}")
-                found.append(said(own_.where((low == F.floor(low)) & (high == F.floor(high)) & (F.col("size") != high - low + 1)).withColumn("size", F.col("size")), r, "size"))
+                low, high = (F.col(f"n{keys.index(k)}") for k in r.span)
+                found.append(said(own_.where((low == F.floor(low)) & (high == F.floor(high)) & (F.col("size") != high - low + 1)), r, "size"))
         if r.known:
-            there = None
-            for p in r.known:
-                d = rows.where(matching(p) & F.col("type").isin("string", "object", "array", "number")).select("id", F.when(F.col("type") == "string", F.col("value")).otherwise(F.col("name")).alias("value"))
-                there = d if there is None else there.unionByName(d)
+            there = held.where(F.col("slot").isin([slots[p] for p in r.known]) & F.col("type").isin("string", "object", "array", "number"))
+            there = there.select("id", F.when(F.col("type") == "string", F.col("value")).otherwise(F.col("name")).alias("value"))
             found.append(said(own.where("type <> 'null'").join(there.distinct(), ["id", "value"], "left_anti"), r))
         if r.unique:
             twice = own.groupBy("id", "type", "value").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first")).where("n > 1")
             found.append(said(own.join(twice, ["id", "type", "value"]).where(F.col("path") != F.col("first")), r))
         if r.place or r.as_long:
-            sizes = rows.where(matching(r.place or r.as_long) & (F.col("type") == "array")).groupBy("id").agg(F.max("size").alias("limit"))
+            sizes = at(r.place or r.as_long).where("type = 'array'").groupBy("id").agg(F.max("size").alias("limit"))
             d = own.join(sizes, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(0)))
             if r.place:
                 n = _number()

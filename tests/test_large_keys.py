@@ -3,6 +3,7 @@
 import duckdb
 
 from heddle import catalog
+from heddle.operators import json_rules as J
 
 
 def test_station_summary_weighs_places_as_its_sql_does(spark, tmp_path):
@@ -15,3 +16,12 @@ def test_station_summary_weighs_places_as_its_sql_does(spark, tmp_path):
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()['station_summary']}) ORDER BY 1").fetchall()
     assert [tuple(r) for r in got.orderBy("l_suppkey").collect()] == want
     assert want[0][3] == 102.0 or want[0][5] == 102.0  # a cent more, far before
+
+
+def test_rules_that_look_at_other_values_read_no_other_rows(spark):
+    docs = spark.createDataFrame([("a", '{"x": {"k": 1}, "more": [1, 2, 3]}'), ("b", '{"x": {"k": 1, "n": 2}}'), ("c", '{"k": 1}')], "id string, json string")
+    rules = [J.Rule("both", "x", needs=("k", "n")), J.Rule("never", "y", known=("more[*]",)), J.Rule("top", "", needs=("x",))]
+    found = J.violations(J.flatten(docs), rules)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "x", "both", "n"), ("c", "", "top", "x")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join") == 2  # a pattern that no document has isn't joined
