@@ -1,13 +1,17 @@
 """Folds along a path that windows can't express: following a lumen from slice to slice, carrying a frame along a curve.
 
-Each path or volume is one group of applyInPandas; its state is the previous slice's piece, or the previous frame.
+A volume is one group of applyInPandas, its state the previous slice's piece; paths pass by in batches, with the previous frame.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def follow(pieces: DataFrame, jump: float) -> DataFrame:
@@ -48,19 +52,42 @@ def follow(pieces: DataFrame, jump: float) -> DataFrame:
 
 def frames(points: DataFrame) -> DataFrame:
     """points: path, n, x, y, z. Adds a unit normal (nx, ny, nz) to each, carried along without twist: the normal before, less
-    its part along the new tangent. The first is the axis least along the first tangent."""
+    its part along the new tangent. The first is the axis least along the first tangent.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        p = pdf[["x", "y", "z"]].to_numpy(float)
-        t = np.gradient(p, axis=0) if len(p) > 1 else np.array([[0.0, 0.0, 1.0]])
-        t /= np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-9)
-        last, out = np.eye(3)[np.abs(t[0]).argmin()], []
-        for axis in t:
-            side = last - (last @ axis) * axis
-            size = np.linalg.norm(side)
-            last = side / size if size > 1e-9 else last
-            out.append(last)
-        return pdf.assign(**dict(zip(("nx", "ny", "nz"), np.array(out).T)))
+    Tangents come from a window over each path. Rows then pass by in order: the paths of a batch are folded side by side, step
+    by step, and what goes from batch to batch is the last normal."""
+    w = Window.partitionBy("path").orderBy("n")
+    before, after = ({c: f(c).over(w) for c in "xyz"} for f in (F.lag, F.lead))
+    first = F.row_number().over(w) == 1
+    one = F.lag("n").over(w).isNull() & F.lead("n").over(w).isNull()
+    # half the way from the point before to the one after, at an end the way to or from its neighbour
+    way = {c: F.coalesce((after[c] - before[c]) / 2, after[c] - F.col(c), F.col(c) - before[c], F.when(one, F.lit(float(c == "z")))) for c in "xyz"}
+    d = points.select("path", "n", *[F.col(c).cast("double").alias(c) for c in "xyz"], *[v.alias(f"t{c}") for c, v in way.items()], first.alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((1, 3))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = np.stack([b.column(f"t{c}").to_numpy(zero_copy_only=False).astype(float) for c in "xyz"], axis=1)
+            t /= np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-9)
+            new = b.column("first").to_numpy(zero_copy_only=False).astype(bool)
+            starts = np.flatnonzero(new | (np.arange(len(t)) == 0))
+            length = np.diff(np.append(starts, len(t)))
+            held = np.eye(3)[np.abs(t[starts]).argmin(axis=1)]
+            if not new[0]:
+                held[0] = last
+            order = np.argsort(-length, kind="stable")
+            starts, length, held = starts[order], length[order], held[order]
+            normals = np.empty_like(t)
+            alive = len(starts) - np.searchsorted(length[::-1], np.arange(1, length[0] + 1))  # paths with more than so many points
+            for k, m in enumerate(alive):
+                at = starts[:m] + k
+                side = held[:m] - (held[:m] * t[at]).sum(axis=1, keepdims=True) * t[at]
+                size = np.linalg.norm(side, axis=1, keepdims=True)
+                held[:m] = normals[at] = np.where(size > 1e-9, side / np.maximum(size, 1e-300), held[:m])
+            last = normals[-1]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("path", "n", "x", "y", "z")), *(pa.array(v) for v in normals.T)], ["path", "n", "x", "y", "z", "nx", "ny", "nz"])
 
-    return points.groupBy("path").applyInPandas(run, "path long, n int, x double, y double, z double, nx double, ny double, nz double")
+    d = d.select(F.col("path").cast("long").alias("path"), F.col("n").cast("int").alias("n"), *[c for c in d.columns if c not in ("path", "n")])
+    return d.mapInArrow(run, "path long, n int, x double, y double, z double, nx double, ny double, nz double")

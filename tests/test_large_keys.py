@@ -1,9 +1,11 @@
 """Queries whose SQL weighs keys that only large tables have, and plans that must not meet in one task."""
 
 import duckdb
+import numpy as np
 
 from heddle import catalog
 from heddle.operators import json_rules as J
+from heddle.operators import paths
 
 
 def test_station_summary_weighs_places_as_its_sql_does(spark, tmp_path):
@@ -25,3 +27,29 @@ def test_rules_that_look_at_other_values_read_no_other_rows(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("a", "x", "both", "n"), ("c", "", "top", "x")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Join") == 2  # a pattern that no document has isn't joined
+
+
+def test_frames_fold_many_paths_at_a_time_and_over_batches(spark):
+    rng = np.random.default_rng(7)
+    rows = [(p, n, *map(float, rng.integers(-3, 4, 3))) for p in range(40) for n in range(1 + p % 9 + 60 * (p == 13))]
+    d = spark.createDataFrame(rows, "path long, n int, x double, y double, z double").repartition(3)
+    want = {}
+    for path in range(40):
+        p = np.array([r[2:] for r in rows if r[0] == path])
+        t = np.gradient(p, axis=0) if len(p) > 1 else np.array([[0.0, 0.0, 1.0]])
+        t /= np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-9)
+        last = np.eye(3)[np.abs(t[0]).argmin()]
+        for n, axis in enumerate(t):
+            side = last - (last @ axis) * axis
+            size = np.linalg.norm(side)
+            last = side / size if size > 1e-9 else last
+            want[path, n] = last
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")  # the path of many points goes over several batches
+    try:
+        got = paths.frames(d)
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(want) and all(np.allclose([r.nx, r.ny, r.nz], want[r.path, r.n], atol=1e-9) for r in rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
