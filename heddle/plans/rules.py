@@ -116,7 +116,9 @@ def blocked_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     a = o.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderstatus") == "P", F.floor(F.col("o_orderkey") / 2)).alias("wait"))
     b = o.select(F.col("o_orderkey").alias("blocked_by"), F.col("o_orderstatus").alias("blocker_status"))
-    return a.join(b, a["wait"] == b["blocked_by"], "left").drop("wait")
+    # those that wait for none stay out of the join, where all of them would have one key
+    waiting, free = a.where("wait is not null"), a.where("wait is null").select("o_orderkey", "o_orderstatus", *[F.lit(None).cast(t).alias(c) for c, t in b.dtypes])
+    return waiting.join(b, waiting["wait"] == b["blocked_by"], "left").drop("wait").unionByName(free)
 
 
 @CATALOG.add(
