@@ -21,6 +21,8 @@ from .graph import components as graph_components
 KEY = ["vol", "k", "j", "i"]
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 BOX = list(product((-1, 0, 1), repeat=3))
+#: Voxels of a volume whose places are held in one row, so that a batch of volumes is bounded too.
+SMALL = 4096
 
 
 def dense(df: DataFrame, vol: str, values: str, shape: tuple[int, int, int]) -> DataFrame:
@@ -139,6 +141,39 @@ def label_small(mask: DataFrame, shape: tuple[int, int, int], plane: bool = Fals
     return held.mapInArrow(run, "vol long, k int, j int, i int, label long")
 
 
+def labelled(mask: DataFrame, shape: tuple[int, int, int], plane: bool = False) -> DataFrame:
+    """label_small() where the shape has at most SMALL voxels, else label()."""
+    return (label_small if np.prod(shape) <= SMALL else label)(mask, shape, plane)
+
+
+def hanging(mask: DataFrame, seeds: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """The voxels of the mask's components that hold a seed. In small volumes a volume's places and seeds come together in one
+    row, made up before the exchange; seeds off the mask don't count."""
+    if np.prod(shape) > SMALL:
+        labels = label(mask, shape)
+        hit = labels.join(seeds, KEY, "left_semi").select("vol", "label").distinct()
+        return labels.join(hit, ["vol", "label"], "left_semi").select(*KEY)
+    _, nj, ni = shape
+    size, (k, j, i) = int(np.prod(shape)), (F.col(c).cast("int") for c in "kji")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = []
+            for lists in b.columns[1:]:
+                row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+                places.append(np.unique(row * size + np.asarray(lists.flatten(), np.int64)))
+            place, seed = places
+            root = roots(place, shape)
+            place = place[np.isin(root, root[np.isin(place, seed)])]
+            row, p = place // size, place % size
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (p // (nj * ni), p // ni % nj, p % ni))], KEY)
+
+    both = mask.select(*KEY, F.lit(False).alias("seed")).unionByName(seeds.where(inside(shape)).select(*KEY, F.lit(True).alias("seed")))
+    at = k * (nj * ni) + j * ni + i
+    held = both.groupBy(F.col("vol").cast("long").alias("vol")).agg(*[F.collect_list(F.when(F.col("seed") == s, at)).alias(n) for n, s in (("at", False), ("seeds", True))])
+    return held.mapInArrow(run, "vol long, k int, j int, i int")
+
+
 def largest(labels: DataFrame) -> DataFrame:
     """The voxels of each volume's largest component; of equals the one that comes first."""
     size = labels.groupBy("vol", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -151,14 +186,13 @@ def grow(mask: DataFrame, seeds: DataFrame, shape: tuple[int, int, int], erosion
     back inside the mask. A seed off the eroded mask moves to the nearest voxel within `reach`; without one it is ignored."""
     thin = erode(mask, shape, erosion) if erosion else mask.select(*KEY)
     near = seeds.select("vol", *[F.col(c).cast("int").alias(f"s{c}") for c in "kji"]).distinct()
-    for c, r in zip("kji", reach):  # every place that a seed may move to, so that the join is on places
-        near = near.withColumn(c, F.explode(F.sequence(F.col(f"s{c}") - r, F.col(f"s{c}") + r)))
+    for c, r, n in zip("kji", reach, shape):  # every place in the grid that a seed may move to, so that the join is on places
+        low, high = F.greatest(F.col(f"s{c}") - r, F.lit(0)), F.least(F.col(f"s{c}") + r, F.lit(n - 1))
+        near = near.where(low <= high).withColumn(c, F.explode(F.sequence(low, high)))
     d2 = sum(((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in "ji"), (F.col("k") - F.col("sk")) * (F.col("k") - F.col("sk")))
-    snapped = thin.join(near.where(inside(shape)), KEY).groupBy("vol", "sk", "sj", "si").agg(F.min(F.struct(d2.alias("d"), "k", "j", "i")).alias("m")).select("vol", "m.k", "m.j", "m.i").distinct()
+    snapped = thin.join(near, KEY).groupBy("vol", "sk", "sj", "si").agg(F.min(F.struct(d2.alias("d"), "k", "j", "i")).alias("m")).select("vol", "m.k", "m.j", "m.i").distinct()
     if steps is None:
-        labels = label(thin, shape)
-        hit = labels.join(snapped, KEY, "left_semi").select("vol", "label").distinct()
-        region = labels.join(hit, ["vol", "label"], "left_semi").select(*KEY)
+        region = hanging(thin, snapped, shape)
     else:
         region = dilate(snapped, shape, steps, thin)
     return dilate(region, shape, erosion, mask) if erosion else region
@@ -166,7 +200,10 @@ def grow(mask: DataFrame, seeds: DataFrame, shape: tuple[int, int, int], erosion
 
 def grow_until(seeds: DataFrame, limit: DataFrame, shape: tuple[int, int, int], most: int) -> DataFrame:
     """The seeds grown inside `limit` until a step adds nothing. A step is written before the next; a count reaches the
-    driver. A region that still grows after `most` steps is a ValueError."""
+    driver. A region that still grows after `most` steps is a ValueError. A small volume that has no more voxels than `most`
+    can't, so that there the seeds' components are taken at once."""
+    if np.prod(shape) <= min(most, SMALL):
+        return hanging(limit, dilate(seeds.select(*KEY), shape, 1, limit), shape)
     region, n = cut(seeds.select(*KEY)), -1
     for _ in range(most + 1):
         region = cut(dilate(region, shape, 1, limit))
@@ -181,12 +218,22 @@ def fill_slices(mask: DataFrame, shape: tuple[int, int, int], vols: DataFrame) -
     nk, nj, ni = shape
     line = lambda n: F.explode(F.array(*[F.lit(x) for x in range(n)]))
     grid = vols.select("vol").distinct().withColumn("k", line(nk)).withColumn("j", line(nj)).withColumn("i", line(ni))
-    labels = label(grid.join(mask, KEY, "left_anti"), shape, True)
+    labels = labelled(grid.join(mask, KEY, "left_anti"), shape, True)
     edge = (F.col("j") == 0) | (F.col("j") == nj - 1) | (F.col("i") == 0) | (F.col("i") == ni - 1)
     open_ = labels.where(edge).select("vol", "label").distinct()
     return mask.select(*KEY).unionByName(labels.join(open_, ["vol", "label"], "left_anti").select(*KEY))
 
 
+def algebra(a: DataFrame, b: DataFrame) -> DataFrame:
+    """op, vol, k, j, i: what two masks share ('and'), what only the first has ('minus') and what either has ('or'). One sum by
+    volume and plane, each with the places of either mask in it, instead of a join for each."""
+    both = a.select(*KEY, F.lit(1).alias("of")).unionByName(b.select(*KEY, F.lit(2).alias("of")))
+    held = both.groupBy("vol", "k").agg(*[F.collect_set(F.when(F.col("of") == n, F.struct("j", "i"))).alias(c) for n, c in ((1, "a"), (2, "b"))])
+    ops = {"and": F.array_intersect("a", "b"), "minus": F.array_except("a", "b"), "or": F.array_union("a", "b")}
+    d = held.select("vol", "k", F.explode(F.array(*[F.struct(F.lit(n).alias("op"), x.alias("at")) for n, x in ops.items()])).alias("o"))
+    return d.select("o.op", "vol", "k", F.explode("o.at").alias("p")).select("op", "vol", "k", "p.j", "p.i")
+
+
 def reduce_blocks(grid: DataFrame, factors: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:
     """Mean and maximum of blocks; what is left over at the far sides is dropped."""
     kept = grid
@@ -217,11 +264,11 @@ def recipe(grid: DataFrame, step: dict, shape: tuple[int, int, int], done: dict[
     if "seeds" in step:
         out = grow(kept, step["seeds"], shape, r, step.get("steps"))
         if step.get("largest"):
-            out = largest(label(out, shape))
+            out = largest(labelled(out, shape))
     else:
         out = erode(kept, shape, r) if r else kept
         if step.get("largest"):
-            out = largest(label(out, shape))
+            out = largest(labelled(out, shape))
         out = dilate(out, shape, r, kept) if r else out
     if step.get("fill"):
         out = fill_slices(out, shape, grid.select("vol"))

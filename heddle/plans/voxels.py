@@ -140,10 +140,7 @@ def recipe_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir)
-    a, b = g.where("v > 0").select(*V.KEY), g.where("v < 0.1").select(*V.KEY)
-    parts = {"and": a.join(b, V.KEY, "left_semi"), "minus": a.join(b, V.KEY, "left_anti"), "or": a.union(b).distinct()}
-    out = [d.select(F.lit(n).alias("op"), *V.KEY) for n, d in parts.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return V.algebra(g.where("v > 0"), g.where("v < 0.1"))
 
 
 OUTER = f"SELECT g.vol, g.k, g.j, g.i FROM ({G_SQL}) g ANTI JOIN (SELECT vol, k, j, i FROM ({M_SQL})) m USING (vol, k, j, i)"

@@ -6,6 +6,7 @@ import numpy as np
 from heddle import catalog
 from heddle.operators import json_rules as J
 from heddle.operators import paths
+from heddle.operators import voxels as V
 
 
 def test_station_summary_weighs_places_as_its_sql_does(spark, tmp_path):
@@ -53,3 +54,29 @@ def test_frames_fold_many_paths_at_a_time_and_over_batches(spark):
     assert len(rows) == len(want) and all(np.allclose([r.nx, r.ny, r.nz], want[r.path, r.n], atol=1e-9) for r in rows)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_masks_are_combined_by_one_sum(spark):
+    a = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 0, 0), (1, 0, 0, 1), (2, 3, 1, 1)], "vol long, k int, j int, i int")
+    b = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 0, 2)], "vol long, k int, j int, i int")
+    got = V.algebra(a, b)
+    both = [("and", 1, 0, 0, 1)] + [("minus", 1, 0, 0, 0), ("minus", 2, 3, 1, 1)] + [("or", 1, 0, 0, 0), ("or", 1, 0, 0, 1), ("or", 1, 0, 0, 2), ("or", 2, 3, 1, 1)]
+    assert sorted(tuple(r) for r in got.collect()) == both
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_orders_that_wait_for_none_are_not_joined(spark, sf):
+    plan = catalog.queries()["blocked_chain"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan.split("Join")[0]
+
+
+def test_small_volumes_grow_without_rounds(spark, monkeypatch):
+    monkeypatch.setattr(V, "cut", None)
+    monkeypatch.setattr(V, "graph_components", None)
+    m = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 0, 1), (1, 0, 0, 3), (2, 0, 0, 0)], "vol long, k int, j int, i int")
+    seed = spark.createDataFrame([(1, 0, 0, 0), (2, 0, 0, 1), (2, 9, 9, 9)], "vol long, k int, j int, i int")
+    want = [(1, 0, 0, 0), (1, 0, 0, 1)]
+    assert sorted(tuple(r) for r in V.grow(m, seed, (4, 4, 4), reach=(0, 0, 0)).collect()) == want
+    assert sorted(tuple(r) for r in V.grow_until(seed, m, (4, 4, 4), 64).collect()) == [*want, (2, 0, 0, 0)]
+    ring = spark.createDataFrame([(1, 0, j, i) for j in range(3) for i in range(3) if (j, i) != (1, 1)], "vol long, k int, j int, i int")
+    assert V.fill_slices(ring, (1, 3, 3), ring.select("vol")).count() == 9
