@@ -152,6 +152,8 @@ def series_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stack_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    # eight parts for each of the files' splits, whose size has a limit, so that what a task sorts doesn't grow with the table
+    d = d.repartition(8 * d.rdd.getNumPartitions(), "l_orderkey")
     return S.split_stack(d, "l_orderkey", "l_quantity", "l_linenumber", [["l_returnflag"], ["l_linestatus"]]).select("l_orderkey", "l_linenumber", "split")
 
 

@@ -80,3 +80,8 @@ def test_small_volumes_grow_without_rounds(spark, monkeypatch):
     assert sorted(tuple(r) for r in V.grow_until(seed, m, (4, 4, 4), 64).collect()) == [*want, (2, 0, 0, 0)]
     ring = spark.createDataFrame([(1, 0, j, i) for j in range(3) for i in range(3) if (j, i) != (1, 1)], "vol long, k int, j int, i int")
     assert V.fill_slices(ring, (1, 3, 3), ring.select("vol")).count() == 9
+
+
+def test_stacks_are_sorted_in_parts_that_follow_the_files(spark, sf):
+    plan = catalog.queries()["stack_split"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
