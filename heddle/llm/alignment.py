@@ -1,10 +1,9 @@
 """Cross-tokenizer alignment: what two tokenizers make of the same bytes, group by group and link by link.
 
-Python tokenises: of a portion of the texts it gives the different words, each with the ids and end offsets of both sides,
-and each text's words as their places in that list. All else is Spark's higher-order functions. In a word the ends of both
-sides, tagged and sorted together, make one list; each of its places is a stretch of bytes that one token of either side
-covers, which is a link, and a place where both end (array_intersect of the ends) closes a group. A text's groups and links
-are those of its words, since both sides end where a word ends. Every list is walked once, whatever its length.
+Of a portion of the texts, the different words are tokenised, each once, and linked in arrays (numpy and Arrow, in the tasks):
+the ends of both sides, laid on one line of bytes, close stretches that one token of either side covers, which are links, and
+where both end a group is closed. A text's groups and links are those of its words, since both sides end where a word ends. No
+list is walked by Python or by an interpreted lambda.
 
 How many documents hold a pair of ids linked is a sum over each document's different pairs. For the columns that need
 those counts, the commonest pairs (KEPT at most) are broadcast, and the rest of the pairs, few rows each, are joined by
@@ -14,12 +13,12 @@ exchange; both give the same numbers.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,17 +193,68 @@ class Tokens:
         return tuple(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids, ends))
 
 
-INTS = T.ArrayType(T.IntegerType(), False)
-SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return np.diff(np.asarray(lists.offsets)).astype(np.int64)
 
 
-def _one(item: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(item)], pa.int32()), item)
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(sizes))
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """A row for each portion of (doc_id, text): docs, an array of doc_id and the text's words as places in words, which has
-    a_ids, a_ends, b_ids, b_ends of the portion's different words."""
+def _joined(items: pa.Array, ends: np.ndarray, by: str) -> pa.Array:
+    """The strings up to each of the ends, which begin with 0, put together."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), items), by)
+
+
+def linked(sides: list[pa.ListArray]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words with a_ids, a_ends, b_ids, b_ends: their groups' texts (`a1,a2|b1;...`) and numbers, the linked pairs of all
+    words in order (the first side's id in the upper 32 bits), and their numbers.
+
+    The words are laid end to end. Each end of a token, of either side, closes a stretch of bytes that one token of either side
+    covers: as many tokens of a side lie before it as have ended earlier. A stretch is a link; where both sides end, it closes
+    a group.
+    """
+    (a, a_ends), (b, b_ends) = ([np.asarray(x.values).astype(np.int64) for x in side] for side in (sides[:2], sides[2:]))
+    n_a, n_b = _lengths(sides[0]), _lengths(sides[2])
+    size = np.zeros(len(n_a), np.int64)
+    size[n_a > 0] = a_ends[(np.cumsum(n_a) - 1)[n_a > 0]]
+    at = _ends(size)
+    closes = np.zeros(at[-1] + 1, np.uint8)
+    closes[a_ends + np.repeat(at[:-1], n_a)] = 1
+    closes[b_ends + np.repeat(at[:-1], n_b)] |= 2
+    ends = np.flatnonzero(closes)
+    done_a, done_b = np.cumsum(closes[ends] & 1, dtype=np.int64), np.cumsum(closes[ends] >> 1, dtype=np.int64)
+    both = closes[ends] == 3
+    pairs = (a[done_a - (closes[ends] & 1)] << 32) + b[done_b - (closes[ends] >> 1)]
+    last = np.searchsorted(ends, at, side="right")
+    texts = [_joined(pa.array(ids).cast(pa.string()), np.append(0, done[both]), ",") for ids, done in ((a, done_a), (b, done_b))]
+    groups = _ends(both)[last]
+    return _joined(pc.binary_join_element_wise(*texts, "|"), groups, ";"), np.diff(groups), pairs, np.diff(last)
+
+
+def _documents(places: pa.ListArray, sides: list[pa.ListArray]) -> list[pa.Array]:
+    """n_a, n_b, n_groups, n_links, groups, pairs and times of texts, from those of their words."""
+    texts, n_groups, pairs, n_links = linked(sides)
+    words, at = np.asarray(places.values), np.asarray(places.offsets)
+    totals = [np.diff(_ends(n[words])[at]) for n in (_lengths(sides[0]), _lengths(sides[2]), n_groups, n_links)]
+    own, codes = np.unique(pairs, return_inverse=True)
+    held = spread(codes, (np.cumsum(n_links) - n_links)[words], n_links[words])
+    held += np.repeat(np.arange(len(places)) * len(own), totals[3])
+    held.sort()  # the pairs of each text in order, one text after another
+    first = np.flatnonzero(np.diff(held, prepend=-1))
+    of, code = np.divmod(held[first], max(1, len(own)))
+    ends = pa.array(np.searchsorted(of, np.arange(len(places) + 1)).astype(np.int32))
+    times = np.diff(first, append=len(held)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (own[code], times)]
+    return [*map(pa.array, totals), _joined(texts.take(places.values), at, ";"), *lists]
+
+
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 of each of (doc_id, text), and pairs and times: the different linked
+    pairs of ids in order, and how often each is linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = kept("alignment", (a_path, b_path), lambda: Tokens(a_path, b_path))
@@ -213,98 +263,15 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for places, sides in tokens(b.column(1)):
                 own = b.column(0)[done : done + len(places)]
                 done += len(places)
-                row = [_one(pa.StructArray.from_arrays([own, places], ["doc_id", "at"])), _one(pa.StructArray.from_arrays(sides, SIDES))]
-                yield pa.RecordBatch.from_arrays(row, ["docs", "words"])
-
-    doc = T.StructType().add("doc_id", "long").add("at", INTS, False)
-    word = T.StructType([T.StructField(c, INTS, False) for c in SIDES])
-    schema = T.StructType().add("docs", T.ArrayType(doc, False), False).add("words", T.ArrayType(word, False), False)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """The body with the value put in, which is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _long(x: int) -> Column:
-    return F.lit(x).cast("long")
-
-
-def _tagged(ends: Column, side: int) -> Column:
-    """Ends in the upper 32 bits, the side in the next, the token's index in the lower 31: sorting puts both sides in order
-    of their ends, of equal ends the first side's first."""
-    return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + _long(side << 31) + i.cast("long"))
-
-
-def _pair_of(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 32) + b.cast("long")
-
-
-def _group(w: Column) -> Column:
-    """text (`a1,a2|b1;...`), pairs (linked ids, the first side's in the upper 32 bits), sizes (tokens of either side, in the
-    halves of a long) and groups of a word."""
-    a_ids, a_ends, b_ids, b_ends = (w.getField(c) for c in SIDES)
-    shape = lambda text, pairs, groups: F.struct(text.alias("text"), pairs.alias("pairs"), _pair_of(F.size(a_ids), F.size(b_ids)).alias("sizes"), groups.cast("long").alias("groups"))
-    alike = shape(
-        F.array_join(F.zip_with(a_ids, b_ids, lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string"))), ";"),
-        F.zip_with(a_ids, b_ids, _pair_of),
-        F.size(a_ids),
-    )
-
-    def place(ends: Column) -> Callable[[Column, Column], Column]:
-        """The pair that covers the bytes before an end; where both sides end, the second's entry tells how many tokens of
-        either side have ended, as a negative number."""
-
-        def at(x: Column, p: Column) -> Column:
-            i = x.bitwiseAND(_long((1 << 31) - 1)).cast("int")
-            first = x.bitwiseAND(_long(1 << 31)) == 0
-            both = (p > 0) & (F.shiftright(F.get(ends, p - 1), 32) == F.shiftright(x, 32))
-            pair = lambda a, b: _pair_of(F.get(a_ids, a), F.get(b_ids, b))
-            return F.when(first, pair(i, p - i)).when(both, -_pair_of(p - i, i + 1)).otherwise(pair(p - i, i))
-
-        return at
-
-    def group(closed: Column) -> Callable[[Column, Column], Column]:
-        """The ids of either side between one group's close and the next."""
-
-        def text(x: Column, k: Column) -> Column:
-            last = F.when(k > 0, F.get(closed, k - 1)).otherwise(_long(0))
-            ids = lambda side, of: F.array_join(F.slice(side, of(last) + 1, of(x) - of(last)).cast("array<string>"), ",")
-            return F.concat(ids(a_ids, lambda v: F.shiftright(v, 32).cast("int")), F.lit("|"), ids(b_ids, lambda v: v.bitwiseAND(_long((1 << 32) - 1)).cast("int")))
-
-        return text
-
-    walked = _let(F.sort_array(F.concat(_tagged(a_ends, 0), _tagged(b_ends, 1))), lambda ends: F.transform(ends, place(ends)))
-    closed = lambda places: F.transform(F.filter(places, lambda x: x < 0), lambda x: -x)
-    apart = _let(walked, lambda places: shape(_let(closed(places), lambda c: F.array_join(F.transform(c, group(c)), ";")), F.filter(places, lambda x: x >= 0), F.size(F.array_intersect(a_ends, b_ends))))
-    return F.when(a_ends == b_ends, alike).otherwise(apart)
-
-
-def aligned(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and pairs and times: the different linked pairs of ids in order, and
-    how often each is linked. tokens: as tokenised() gives them."""
-    df = tokens.select("docs", F.transform("words", _group).alias("words"))
-    df = df.select("docs", F.col("words.text").alias("texts"), F.col("words.pairs").alias("links"), F.col("words.sizes").alias("sizes"), F.col("words.groups").alias("groups"))
-
-    def doc(d: Column) -> Column:
-        at = d.getField("at")
-        total = lambda c: F.aggregate(at, _long(0), lambda sum_, w: sum_ + F.get(c, w))
-        text = F.array_join(F.transform(at, lambda w: F.get("texts", w)), ";")
-        links = F.flatten(F.transform(at, lambda w: F.get("links", w)))
-        sha = F.when(F.size(at) > 0, F.sha2(text, 256)).otherwise(F.lit(""))
-        return F.struct(d.getField("doc_id").alias("doc_id"), total("sizes").alias("sizes"), total("groups").alias("n_groups"), sha.alias("groups_sha256"), links.alias("links"))
+                yield pa.RecordBatch.from_arrays([own, *_documents(places, sides)], ["doc_id", *COUNTS, "groups", "pairs", "times"])
 
-    # outside the lambda the sort is Spark's own of whole numbers
-    df = df.select(F.explode(F.transform("docs", doc)).alias("d")).select("d.*").withColumn("links", F.sort_array("links"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("links") - 1), lambda p: F.when(p > 0, F.get("links", p) != F.get("links", p - 1)).otherwise(True))
-    df = df.select(
-        "doc_id", F.shiftright("sizes", 32).alias("n_a"), F.col("sizes").bitwiseAND(_long((1 << 32) - 1)).alias("n_b"),
-        "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256", "links",
-        F.when(F.size("links") > 0, starts).otherwise(F.array().cast("array<int>")).alias("starts"),
-    )
-    times = F.transform("starts", lambda s, k: F.coalesce(F.get("starts", k + 1), F.size("links")) - s)
-    return df.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", F.transform("starts", lambda s: F.get("links", s)).alias("pairs"), times.alias("times"))
+    schema = T.StructType().add("doc_id", "long")
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    schema = schema.add("groups", "string").add("pairs", T.ArrayType(T.LongType(), False)).add("times", T.ArrayType(T.IntegerType(), False))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    sha = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return df.select("doc_id", *COUNTS, sha.alias("groups_sha256"), "pairs", "times")
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -334,7 +301,7 @@ def align(docs: DataFrame, work: Work, a_path: str | None = None, b_path: str |
     repeat a document, or have no id, are documents each, in the counts too; an empty table gives an empty one; other
     columns aren't read. A text's lists are in one row: it may have some hundred million tokens.
     """
-    rows = aligned(tokenised(docs, a_path or tokenizer_path(BYTES), b_path or tokenizer_path(PIECES)))
+    rows = aligned(docs, a_path or tokenizer_path(BYTES), b_path or tokenizer_path(PIECES))
     rows = work.save(rows.withColumn("row", F.monotonically_increasing_id()), "aligned")
     counts = work.save(counted(rows), "counts")
     least = _least(counts, kept)

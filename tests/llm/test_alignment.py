@@ -137,3 +137,20 @@ def test_query_matches_brute_force(spark, sf, tools):
     for i, t in docs:
         a, b = both(tools, t)
         assert (whole[i].n_a, whole[i].n_b, whole[i].n_groups) == (len(a), len(b), len({x[2] for x in a} & {y[2] for y in b}))
+
+
+def test_links_are_made_in_arrays_with_no_lambda_for_each_word(spark, tools):
+    plans = []
+
+    class Seen(Work):
+        def save(self, df, name="t"):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().save(df, name)
+
+    rng = random.Random(9)
+    parts = ["naïve", "日本", "ing", "ß", "'s", "un", "X", "9", "…", "th", "🙂"]
+    docs = [(i, " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(40))) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = sorted((tuple(r) for r in alignment.align(df, Seen(spark, "test")).select(COLUMNS).collect()), key=repr)
+    assert rows == brute(tools, docs)
+    assert plans and not any("lambda" in p for p in plans)
