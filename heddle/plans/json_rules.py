@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.lineage import cut
 from heddle.operators import json_rules as J
 from heddle.session import Catalog, table
 
@@ -14,12 +13,12 @@ CATALOG = Catalog()
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and json: an order's lines are its structures, its key sets what else the document says."""
-    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.min("l_returnflag").alias("l_returnflag"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.min("l_returnflag").alias("l_returnflag"))
     n = F.col("l_linenumber")
     opacity = F.when(F.col("l_partkey") % 11 == 0, F.lit("true")).when(F.col("l_partkey") % 7 == 0, F.lit("1.5")).otherwise(F.lit("0.5"))
     key = F.when((n == 3) & (F.col("l_suppkey") % 5 == 0), F.lit("s1")).otherwise(F.concat(F.lit("s"), n))
     part = F.concat(F.lit('{"k": "'), key, F.lit('", "n": "'), F.col("l_returnflag"), F.lit('", "_nota": {"a": 9}, "a": '), opacity, F.when(F.col("l_suppkey") % 3 == 0, F.lit(', "con": "s2"')).otherwise(F.lit("")), F.lit("}"))
-    held = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", part.alias("x")))).alias("x"))
+    held = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", part.alias("x")))).alias("x"))
     o = F.col("l_orderkey")
     points = F.array_join(F.transform(F.sequence(F.lit(1), (o % 4 + 1).cast("int")), lambda i: F.concat(F.lit("["), i, F.lit(", 0, 0.5]"))), ", ")
     text = F.concat(
@@ -53,5 +52,5 @@ SELECT CAST(o AS VARCHAR) AS id, path, rule, value FROM (
 @CATALOG.add("viewer_documents", SQL)
 def viewer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the viewer's rules find; where a document isn't JSON only that is said (the parser's own words are left out)."""
-    d = J.violations(cut(J.flatten(documents(spark, sf_dir))), J.VIEWER)
+    d = J.checked(documents(spark, sf_dir), J.VIEWER)
     return d.withColumn("value", F.when(F.col("rule") == "json", F.lit("")).otherwise(F.col("value")))

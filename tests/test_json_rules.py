@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from heddle import catalog
 from heddle.operators import json_rules as J
 
 
@@ -88,3 +89,34 @@ def test_each_fault_is_found_where_it_is_and_a_good_document_is_left_alone(spark
 def test_patterns(spark, pattern, path, hit):
     d = spark.createDataFrame([(path,)], "pattern string")
     assert d.where(J.matching(pattern)).count() == int(hit)
+
+
+ODD = [
+    '{"vistas": {"a": {"dir": [0, NaN, 1e400], "radio": -Infinity}, "_b": {"dir": 1}}, "seg_etapa": 1' + "0" * 400 + "}", '{"seg_etapa": 1' + "0" * 5000 + "}", '{"estructuras": [{"k": "a\\n", "n": "\\u00a0"}, {"k": 1, "n": "\\u001f"}, {"k": 1}, {"k": 1.0}, {"k": {}}, {"k": {}}, 7]}',
+    '{"estructuras": [{"k": "a", "con": null}, {"k": "a", "con": true}, {"k": "a", "con": ["a"]}], "ruta": {"puntos": {"0": 1}, "radios": [], "zonas": [{"desde": "0", "hasta": 0.5}, {"desde": -1, "hasta": null}]}}',
+    '{"ruta": {"puntos": [0, 0], "estrechez": {"desde": 0.0, "hasta": true, "luz_normal": [1], "_x": 1}, "zonas": [{"desde": 1.5, "hasta": 1}]}}', '{"ruta": [{"puntos": []}], "vistas": [{"dir": 1}], "ruta.vel": 0, "vistas.x": 3}',
+    '{"ruta": {"estrechez": {"desde": 1, "hasta": 3, "luz_normal": [1, 2]}, "estrechez": {"desde": 1, "hasta": 3, "luz_normal": [1, 2, 3, 4]}}}', '{"hotspots": [{"n": 2, "t": "x", "p": "y"}, {"n": 1}, {"n": 2}, {"n": 2.0}, {"n": "2"}], "foco_ocultar": ["0", 0, {}]}',
+    '{"estructuras": [' + ", ".join('{"k": "s", "n": "x"}' for _ in range(12)) + "]}", '{"estructuras": [{"k": "\\ud800", "n": " "}]}', '[{"estructuras": []}]', "3", "null", "[" * 100_000, None, "",
+]
+
+
+def test_documents_are_judged_as_their_rows_are(spark, tmp_path, monkeypatch):
+    docs = [("good", json.dumps(GOOD)), ("broken", "{")] + [(f"{i}", changed(*change)) for i, (change, _) in enumerate(FAULTS)] + [(f"odd{i}", d) for i, d in enumerate(ODD)]
+    d = spark.createDataFrame(docs, "id string, json string").repartition(3)
+    J.flatten(d).write.parquet(str(tmp_path / "rows"))
+    monkeypatch.setattr(J, "KEYS", 2)
+    monkeypatch.setattr(J, "FEW", 3)
+    rules = J.VIEWER + [J.Rule("all", "", types=("object",), needs=("_a", "vistas"), least=2), J.Rule("listed", "estructuras[*].n", one_of=("A", "x"), known=("estructuras[*].n", "vistas.*")), J.Rule("digits", "estructuras[*].k", like=r"\p{Alpha}[\d&&[^1]]*")]
+    found = J.checked(d, rules)
+    want = sorted(map(repr, J.violations(spark.read.parquet(str(tmp_path / "rows")), rules).collect()))
+    assert sorted(map(repr, found.collect())) == want and len(want) > 150
+
+
+def test_viewer_documents_shuffles_orders_once_and_nothing_else(spark, sf):
+    plan = catalog.queries()["viewer_documents"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_a_document_has_no_other_documents_values(spark):
+    d = spark.createDataFrame([("a", '{"vista_inicial": "v"}'), ("a", '{"vistas": {"v": {}}}')], "id string, json string")
+    assert [tuple(r) for r in J.checked(d, J.VIEWER).collect()] == [("a", "vista_inicial", "first view", "v")]
